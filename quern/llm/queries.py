@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from quern.llm import urlrules
+from quern.llm.bpe import op4_bpe
 from quern.llm.decontaminate import op10_decontaminate
 from quern.llm.simhash import op6_simhash
 
 
 def queries() -> dict:
     return {
+        "op3_url_filter": urlrules.op3_url_filter,
+        "op4_bpe": op4_bpe,
         "op6_simhash": op6_simhash,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": urlrules.ORACLE_SQL}
