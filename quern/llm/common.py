@@ -22,16 +22,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share.
 
     Where neither that setting nor a checkpoint directory is given (tests on one
     machine), a temporary folder is used.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    context = spark.sparkContext._jsc.sc()
+    if not context.getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
         spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+    return context.getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

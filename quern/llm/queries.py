@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from quern.llm import urlrules
 from quern.llm.bpe import op4_bpe
+from quern.llm.ctw import op2_ctw
 from quern.llm.decontaminate import op10_decontaminate
 from quern.llm.langid import op7_language
 from quern.llm.simhash import op6_simhash
@@ -13,6 +14,7 @@ from quern.llm.toxicity import op1_toxicity
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_ctw": op2_ctw,
         "op3_url_filter": urlrules.op3_url_filter,
         "op4_bpe": op4_bpe,
         "op6_simhash": op6_simhash,
