@@ -322,7 +322,7 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
     # probabilities of grams
     grams = counted.where("gram is not null").select("block", "gram", "n")
     parts = max(1, math.ceil(grams.count() / PART_ROWS))
-    met = grams.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.shiftright("gram", 16))
+    met = grams.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.shiftright("gram", 8 * (DEPTH - 2)))
     tops = met.mapInArrow(_roots, "k long, z double, o double, lw double")
     tops = tops.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("z", "o", "lw"))).toPandas()
     top = spark.sparkContext.broadcast(Top(tops.k.to_numpy(), tops.z.to_numpy(), tops.o.to_numpy(), tops.lw.to_numpy()))
