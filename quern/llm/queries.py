@@ -6,6 +6,7 @@ from quern.llm import urlrules
 from quern.llm.bpe import op4_bpe
 from quern.llm.ctw import op2_ctw
 from quern.llm.decontaminate import op10_decontaminate
+from quern.llm.ivfpq import op8_neighbours
 from quern.llm.langid import op7_language
 from quern.llm.simhash import op6_simhash
 from quern.llm.toxicity import op1_toxicity
@@ -19,6 +20,7 @@ def queries() -> dict:
         "op4_bpe": op4_bpe,
         "op6_simhash": op6_simhash,
         "op7_language": op7_language,
+        "op8_neighbours": op8_neighbours,
         "op10_decontaminate": op10_decontaminate,
     }
 
