@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quern.llm import urlrules
+from quern.llm import chatformat, urlrules
 from quern.llm.bpe import op4_bpe
 from quern.llm.ctw import op2_ctw
 from quern.llm.decontaminate import op10_decontaminate
 from quern.llm.ivfpq import op8_neighbours
 from quern.llm.langid import op7_language
+from quern.llm.licenses import op5_licenses
 from quern.llm.simhash import op6_simhash
 from quern.llm.toxicity import op1_toxicity
 
@@ -18,12 +19,14 @@ def queries() -> dict:
         "op2_ctw": op2_ctw,
         "op3_url_filter": urlrules.op3_url_filter,
         "op4_bpe": op4_bpe,
+        "op5_licenses": op5_licenses,
         "op6_simhash": op6_simhash,
         "op7_language": op7_language,
         "op8_neighbours": op8_neighbours,
+        "op9_chat_format": chatformat.op9_chat_format,
         "op10_decontaminate": op10_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urlrules.ORACLE_SQL}
+    return {"op3_url_filter": urlrules.ORACLE_SQL, "op9_chat_format": chatformat.ORACLE_SQL}

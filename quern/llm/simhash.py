@@ -315,13 +315,13 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: that with the smallest id (of rows that repeat it, the first by text).
+    """One document of each group: that with the smallest id.  Columns stay as they are.
 
-    Columns stay as they are.  Rows are found again by a join on the id with the
-    set of kept ids, so that texts are shuffled once.
+    Of rows that repeat that id in the group, those of the smallest fingerprint
+    stand for it, and of those with the same fingerprint one stays.
     """
-    found = near_duplicates(docs, doc_id, text)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = kept.withColumnRenamed("doc_id", "__kept")
-    out = docs.join(kept, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
-    return out.dropDuplicates([doc_id])
+    own = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = own.groupBy(F.col("doc_id").alias("__id")).agg(F.min("fp").alias("__kept"))
+    marked = docs.withColumn("__fp", _fingerprints(F.col(text)))
+    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept"))
+    return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, "__fp"]).select(*docs.columns)
