@@ -1,8 +1,54 @@
-"""Corpus pipeline (stages follow)."""
+"""The corpus pipeline: language, toxicity, near-duplicates, contamination, tokens.
 
-STAGES: list = []
+Every stage takes (spark, docs, sf_dir) and works on all documents that the one
+before it kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from quern.llm import bpe, decontaminate, langid, simhash, toxicity
+from quern.llm.common import shared_folder, table
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return langid.keep_known(docs)
+
+
+def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return bpe.digests(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("toxicity", toxic),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontaminated),
+    ("encoding", encoded),
+]
+#: The stages train models and follow links; no SQL says the same.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir: str):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        path = f"{shared_folder(spark)}/quern-stage-{uuid.uuid4().hex}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
