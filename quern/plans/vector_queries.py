@@ -1,6 +1,218 @@
-def queries():
-    return {}
+"""Registered queries over vectors, versioned tables, sequences and streams, and their SQL."""
 
+from __future__ import annotations
 
-def oracle_sql():
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quern.functions import vector as V
+from quern.operators import ann
+from quern.session import Engine
+from quern.sources.store import scratch
+from quern.streaming.windows import sessions, windowed
+
+#: The vector that the queries look for: that of this id.
+ASKED = 7
+
+
+def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _asked(rows: DataFrame) -> list[float]:
+    return list(rows.where(F.col("vec_id") == ASKED).select("embedding").first()[0])
+
+
+def _distance(operator: str, tail=None):
+    def query(spark, sf_dir):
+        rows = _read(spark, sf_dir, "embeddings")
+        d = F.round(V.distance(F.col("embedding"), _asked(rows), operator), 6).alias("d")
+        rows = rows.select("vec_id", "label", d)
+        return tail(rows) if tail else rows.orderBy(F.asc_nulls_last("d"), "vec_id").limit(10)
+
+    return query
+
+
+def _null_last(spark, sf_dir):
+    rows = _read(spark, sf_dir, "embeddings")
+    q = _asked(rows)
+    some = F.when(F.col("vec_id") % 50 != 0, F.col("embedding"))
+    return rows.select("vec_id", F.round(V.l2(some, q), 6).alias("d")).orderBy(F.desc_nulls_first("d"), "vec_id").limit(20)
+
+
+def _engine(spark, sf_dir, *tables: str) -> Engine:
+    """A new store with copies of tables; integers, text and vectors only."""
+    engine = Engine(spark, scratch(spark))
+    s = engine.session()
+    shapes = {
+        "region": "r_regionkey INT, r_name TEXT",
+        "customer": "c_custkey INT8, c_name TEXT, c_acctbal FLOAT8",
+        "embeddings": "vec_id INT8, embedding VECTOR(64), label INT",
+    }
+    for t in tables:
+        s.exec(f"CREATE TABLE {t} ({shapes[t]})")
+        names = [part.split()[0] for part in shapes[t].split(", ")]
+        s.insert_frame(t, _read(spark, sf_dir, t).select(*names))
+    return engine
+
+
+def _sql_topk(spark, sf_dir):
+    engine = _engine(spark, sf_dir, "embeddings")
+    q = _asked(_read(spark, sf_dir, "embeddings"))
+    rows = engine.session().exec("SELECT vec_id, embedding <-> $1 FROM embeddings ORDER BY embedding <-> $1 LIMIT 10", [q]).frame
+    return rows.select("vec_id", F.round("`?column?`", 6).alias("d"))
+
+
+def _ann(spark, sf_dir):
+    engine = _engine(spark, sf_dir, "embeddings")
+    s = engine.session()
+    s.exec("CREATE INDEX ON embeddings USING hnsw (embedding vector_l2_ops)")
+    q = _asked(_read(spark, sf_dir, "embeddings"))
+    r = s.exec("SELECT vec_id FROM embeddings ORDER BY embedding <-> $1 LIMIT 10", [q])
+    assert r.path == "HnswScan"
+    return r.frame
+
+
+def _recall(spark, sf_dir):
+    """Recall at 10 of 20 queries through the graphs, reported as being at least 0.98."""
+    root = f"{scratch(spark)}/graph"
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_tid"), "embedding")
+    ann.build(rows, "_tid", "embedding", "vector_l2_ops", root)
+    asked = [list(r.embedding) for r in rows.where("_tid % 25 = 0").orderBy("_tid").limit(20).collect()]
+    hits = ann.search(spark, root, "vector_l2_ops", asked, 10)
+    found = _first(hits, "distance")
+    q = spark.createDataFrame(list(enumerate(asked)), "query int, q array<float>")
+    gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
+    exact = rows.crossJoin(F.broadcast(q)).select("query", F.col("_tid").alias("tid"), gap.alias("distance"))  # 20 queries
+    recall = ann.recall_frame(_first(exact, "distance"), found, 10)
+    return recall.select((F.col("recall") >= 0.98).alias("recall_holds"))
+
+
+def _first(hits: DataFrame, by: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("query").orderBy(by, "tid")
+    return hits.withColumn("rn", F.row_number().over(order)).where("rn <= 10").select("query", "tid")
+
+
+def _update(spark, sf_dir):
+    s = _engine(spark, sf_dir, "region").session()
+    s.exec("UPDATE region SET r_name = 'MOVED' WHERE r_regionkey > 2")
+    return s.exec("SELECT * FROM region").frame
+
+
+def _delete(spark, sf_dir):
+    s = _engine(spark, sf_dir, "customer").session()
+    s.exec("CREATE INDEX ON customer (c_custkey)")
+    s.exec("DELETE FROM customer WHERE c_acctbal < 0.0")
+    return s.exec("SELECT c_custkey, c_name FROM customer WHERE c_custkey < 500").frame
+
+
+def _serial(spark, sf_dir):
+    s = Engine(spark, scratch(spark)).session()
+    s.exec("CREATE TABLE items (id SERIAL, note TEXT)")
+    s.exec("INSERT INTO items (note) VALUES ('a'), ('b')")
+    s.exec("INSERT INTO items VALUES (DEFAULT, 'c'), (99, 'd'), (NULL, 'e')")
+    return s.exec("SELECT id, note FROM items ORDER BY id").frame
+
+
+def _snapshot(spark, sf_dir):
+    engine = _engine(spark, sf_dir, "region")
+    reader, writer = engine.session(), engine.session()
+    reader.begin()
+    writer.exec("DELETE FROM region WHERE r_regionkey < 3")
+    old = reader.exec("SELECT r_regionkey FROM region").frame.select(F.lit("old").alias("at"), "r_regionkey")
+    new = writer.exec("SELECT r_regionkey FROM region").frame.select(F.lit("new").alias("at"), "r_regionkey")
+    return old.unionAll(new)
+
+
+def _analytics(spark, sf_dir):
+    s = _engine(spark, sf_dir, "region", "customer").session()
+    return s.analytics("SELECT r_name, count(*) AS n FROM region JOIN customer ON c_custkey % 5 = r_regionkey GROUP BY r_name")
+
+
+def _explain(spark, sf_dir):
+    s = _engine(spark, sf_dir, "customer").session()
+    return s.exec("EXPLAIN SELECT c_custkey FROM customer WHERE c_custkey = 7").frame.select(F.substring("plan", 1, 30).alias("plan"))
+
+
+def _topk_each(spark, sf_dir):
+    """The 3 nearest rows of each of the first 10 vectors, exactly."""
+    from pyspark.sql import Window
+
+    rows = _read(spark, sf_dir, "embeddings")
+    q = rows.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
+    pairs = rows.join(F.broadcast(q.limit(10)), F.col("vec_id") != F.col("query"))  # 10 queries
+    order = Window.partitionBy("query").orderBy("d", "vec_id")
+    near = pairs.select("query", "vec_id", F.sqrt(gap).alias("d")).withColumn("rn", F.row_number().over(order))
+    return near.where("rn <= 3").select("query", "vec_id", F.round("d", 6).alias("d"))
+
+
+def _windows(spark, sf_dir):
+    rows = windowed(_read(spark, sf_dir, "events"), "ts", ["event_type"], "value", "1 day")
+    return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+def _sessions(spark, sf_dir):
+    rows = sessions(_read(spark, sf_dir, "events"), "ts", "user_id", "30 minutes")
+    return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
+
+
+def queries() -> dict:
+    return {
+        "vec_l2_topk": _distance(V.L2),
+        "vec_cosine_topk": _distance(V.COSINE),
+        "vec_ip_topk": _distance(V.INNER),
+        "vec_projection": _distance(V.L2, lambda r: r),
+        "vec_l2_desc_fallback": _distance(V.L2, lambda r: r.orderBy(F.desc_nulls_first("d"), "vec_id").limit(10)),
+        "vec_extra_where": _distance(V.L2, lambda r: r.where("label = 1").orderBy("d", "vec_id").limit(10)),
+        "vec_threshold": _distance(V.L2, lambda r: r.where("d < 1.2")),
+        "vec_null_last": _null_last,
+        "vec_topk_each": _topk_each,
+        "sql_topk": _sql_topk,
+        "ann_topk": _ann,
+        "ann_recall": _recall,
+        "update_then_scan": _update,
+        "delete_then_scan": _delete,
+        "insert_default_serial": _serial,
+        "txn_snapshot_isolation": _snapshot,
+        "analytics_snapshot": _analytics,
+        "explain_select": _explain,
+        "window_tumbling": _windows,
+        "window_sessions": _sessions,
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    base = f"""WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = {ASKED}),
+        d AS (SELECT vec_id, label, round({{}}, 6) AS d FROM embeddings, q) """
+    l2 = base.format("list_distance(CAST(embedding AS DOUBLE[]), q)")
+    return {
+        "vec_l2_topk": l2 + "SELECT * FROM d ORDER BY d, vec_id LIMIT 10",
+        "vec_cosine_topk": base.format("list_cosine_distance(CAST(embedding AS DOUBLE[]), q)") + "SELECT * FROM d ORDER BY d, vec_id LIMIT 10",
+        "vec_ip_topk": base.format("list_negative_inner_product(CAST(embedding AS DOUBLE[]), q)") + "SELECT * FROM d ORDER BY d, vec_id LIMIT 10",
+        "vec_projection": l2 + "SELECT * FROM d",
+        "vec_l2_desc_fallback": l2 + "SELECT * FROM d ORDER BY d DESC, vec_id LIMIT 10",
+        "vec_extra_where": l2 + "SELECT * FROM d WHERE label = 1 ORDER BY d, vec_id LIMIT 10",
+        "vec_threshold": l2 + "SELECT * FROM d WHERE d < 1.2",
+        "vec_null_last": l2 + """SELECT vec_id, CASE WHEN vec_id % 50 <> 0 THEN d END AS d FROM d
+            ORDER BY CASE WHEN vec_id % 50 <> 0 THEN d END DESC NULLS FIRST, vec_id LIMIT 20""",
+        "vec_topk_each": """SELECT query, vec_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rn FROM (
+            SELECT a.vec_id AS query, b.vec_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
+            FROM embeddings a JOIN embeddings b ON a.vec_id < 10 AND a.vec_id <> b.vec_id)) WHERE rn <= 3""",
+        "sql_topk": l2 + "SELECT vec_id, d FROM d ORDER BY d, vec_id LIMIT 10",
+        "ann_topk": l2 + "SELECT vec_id FROM d ORDER BY d, vec_id LIMIT 10",
+        "ann_recall": "SELECT true AS recall_holds",
+        "update_then_scan": "SELECT r_regionkey, CASE WHEN r_regionkey > 2 THEN 'MOVED' ELSE r_name END AS r_name FROM region",
+        "delete_then_scan": "SELECT c_custkey, c_name FROM customer WHERE NOT c_acctbal < 0 AND c_custkey < 500",
+        "insert_default_serial": "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (99, 'd'), (NULL, 'e')) t(id, note)",
+        "txn_snapshot_isolation": """SELECT 'old' AS at, r_regionkey FROM region UNION ALL
+            SELECT 'new' AS at, r_regionkey FROM region WHERE r_regionkey >= 3""",
+        "analytics_snapshot": "SELECT r_name, count(*) AS n FROM region JOIN customer ON c_custkey % 5 = r_regionkey GROUP BY r_name",
+        "explain_select": "SELECT 'SeqScan reason=NoIndex rows=1 ' AS plan",
+        "window_tumbling": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total
+            FROM events GROUP BY ALL""",
+        "window_sessions": """SELECT user_id, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTES THEN 1 ELSE 0 END)::BIGINT AS sessions,
+            count(*) AS events FROM (SELECT user_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS p FROM events) GROUP BY user_id""",
+    }
