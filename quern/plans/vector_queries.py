@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.functions import compat
 from quern.functions import vector as V
 from quern.operators import ann
 from quern.session import Engine
@@ -159,6 +160,25 @@ def _sessions(spark, sf_dir):
     return rows.groupBy("user_id").agg(F.count("*").alias("sessions"), F.sum("n").alias("events"))
 
 
+def _compat(spark, sf_dir):
+    rows = _read(spark, sf_dir, "customer")
+    key, other = F.col("c_custkey"), F.col("c_nationkey").cast("long") * 6
+    return rows.select(
+        "c_custkey",
+        compat.gcd(key, other).alias("g"),
+        compat.lcm(key, other).alias("l"),
+        compat.trunc(F.col("c_acctbal")).cast("long").alias("t"),
+        compat.concat_skip(F.col("c_mktsegment"), F.lit(None), F.lit("!")).alias("c"),
+        compat.regexp_replace_first(F.col("c_name"), "0", "x").alias("r"),
+        compat.to_hex(key).alias("h"),
+    )
+
+
+def _date_bin(spark, sf_dir):
+    at = compat.date_bin("15 minutes", F.col("ts"))
+    return _read(spark, sf_dir, "events").groupBy(F.date_format(at, "yyyy-MM-dd HH:mm").alias("bin")).agg(F.count("*").alias("n"))
+
+
 def queries() -> dict:
     return {
         "vec_l2_topk": _distance(V.L2),
@@ -179,6 +199,8 @@ def queries() -> dict:
         "txn_snapshot_isolation": _snapshot,
         "analytics_snapshot": _analytics,
         "explain_select": _explain,
+        "fn_compat": _compat,
+        "fn_date_bin_minutes": _date_bin,
         "window_tumbling": _windows,
         "window_sessions": _sessions,
     }
@@ -211,6 +233,10 @@ def oracle_sql() -> dict[str, str]:
             SELECT 'new' AS at, r_regionkey FROM region WHERE r_regionkey >= 3""",
         "analytics_snapshot": "SELECT r_name, count(*) AS n FROM region JOIN customer ON c_custkey % 5 = r_regionkey GROUP BY r_name",
         "explain_select": "SELECT 'SeqScan reason=NoIndex rows=1 ' AS plan",
+        "fn_compat": """SELECT c_custkey, gcd(c_custkey, c_nationkey * 6) AS g, lcm(c_custkey, c_nationkey * 6) AS l, CAST(trunc(c_acctbal) AS BIGINT) AS t,
+            concat(c_mktsegment, NULL, '!') AS c, regexp_replace(c_name, '0', 'x') AS r, format('{:x}', c_custkey) AS h FROM customer""",
+        "fn_date_bin_minutes": """SELECT strftime(time_bucket(INTERVAL 15 MINUTES, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d %H:%M') AS bin, count(*) AS n
+            FROM events GROUP BY 1""",
         "window_tumbling": """SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total
             FROM events GROUP BY ALL""",
         "window_sessions": """SELECT user_id, sum(CASE WHEN p IS NULL OR ts >= p + INTERVAL 30 MINUTES THEN 1 ELSE 0 END)::BIGINT AS sessions,

@@ -194,3 +194,33 @@ def test_deadlock():
     m.acquire(1, "b", EXCLUSIVE)
     t.join()
     assert failed == [2]
+
+
+def test_leaks_and_rebuild(s):
+    s.exec("CREATE TABLE t (id INT4, v VECTOR(2))")
+    s.exec("CREATE INDEX ix ON t USING hnsw (v vector_l2_ops)")
+    s.exec("INSERT INTO t VALUES " + ", ".join(f"({i}, [{i}, {i % 3}])" for i in range(20)))
+    assert s.exec("SELECT id FROM t ORDER BY v <-> [4, 1] LIMIT 2").rows()[0] == (4,)
+    s.exec("DELETE FROM t WHERE id < 5")
+    before = s.engine.hnsw_leak_report("t")
+    assert before["tombstoned_count"] == 5 and before["rebuild_recommended"]
+    s.rebuild_graph("t")
+    after = s.engine.hnsw_leak_report("t")
+    assert after["node_count"] == 15 and after["leak_ratio"] == 0 and after["unreachable_live_count"] == 0
+    assert s.exec("SELECT id FROM t ORDER BY v <-> [5, 2] LIMIT 1").rows() == [(5,)]
+
+
+def test_script_and_introspection(s):
+    s.exec_script("CREATE TABLE a (id INT); INSERT INTO a VALUES (1)")
+    with pytest.raises(SqlError):
+        s.exec_script("INSERT INTO a VALUES (2); INSERT INTO a VALUES ('x')")
+    assert s.exec("SELECT id FROM a").rows() == [(1,)]
+    s.exec_script("INSERT INTO a VALUES (2); INSERT INTO a VALUES (3)")
+    assert s.engine.table_entries() == ["a"] and s.engine.describe_table("a") == [("id", "INT4")]
+    s.exec("CREATE INDEX ON a (id)")
+    assert s.engine.indexes("a") == [("btree", "id")] and s.engine.active_transactions() == []
+    s.begin()
+    assert len(s.engine.active_transactions()) == 1 and s.engine.oldest_versions()["a"] == s.store.current("a").number
+    s.rollback()
+    s.engine.drop_table("a")
+    assert s.engine.table_entries() == []
