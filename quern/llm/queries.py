@@ -8,7 +8,7 @@ from quern.llm.ctw import op2_ctw
 from quern.llm.decontaminate import op10_decontaminate
 from quern.llm.ivfpq import op8_neighbours
 from quern.llm.langid import op7_language
-from quern.llm.licenses import op5_licenses
+from quern.llm.licenses import TEMPLATES, THRESHOLD, op5_licenses
 from quern.llm.simhash import op6_simhash
 from quern.llm.toxicity import op1_toxicity
 
@@ -28,5 +28,62 @@ def queries() -> dict:
     }
 
 
+_UPPER, _LOWER = urlrules.UPPER, urlrules.LOWER
+
+#: Windows of all items against all word positions of all documents, by their text.
+_DECONTAMINATE = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'),
+    '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+win AS (SELECT DISTINCT item_id, least(len(w), 13) AS n, array_to_string(w[i:i + 12], ' ') AS k
+    FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 12) + 1)) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+spot AS (SELECT r, n, i, array_to_string(w[i:i + n - 1], ' ') AS k
+    FROM (SELECT r, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM d, sizes WHERE len(w) >= n)),
+hit AS (SELECT r, spot.n, i, item_id FROM spot JOIN win ON spot.k = win.k AND spot.n = win.n),
+words AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM hit) GROUP BY r),
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
+_TEMPLATES = ", ".join(f"('{name}', '{body}')" for name, body in TEMPLATES)
+
+#: TF-IDF cosine of every line to every template, then the nearest directory upwards (source/language, source, root).
+_LICENSES = f"""
+WITH t AS (SELECT name, lower(body) AS body FROM (VALUES {_TEMPLATES}) v(name, body)),
+tw AS (SELECT name, w, count(*) AS tf FROM (SELECT name, unnest(list_filter(string_split_regex(body, '[^a-z0-9]+'), lambda x: x <> '')) AS w FROM t)
+    GROUP BY name, w),
+vocab AS (SELECT DISTINCT w FROM tw),
+lines AS (SELECT doc_id, i, list_filter(string_split_regex(translate(line, '{_UPPER}', '{_LOWER}'), '[^a-z0-9]+'), lambda x: x <> '') AS ws
+    FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+    FROM documents)),
+l AS (SELECT * FROM lines WHERE len(ws) > 0),
+lw AS (SELECT doc_id, i, w, count(*) AS tf FROM (SELECT doc_id, i, unnest(ws) AS w FROM l) GROUP BY doc_id, i, w),
+n AS (SELECT count(*) AS n FROM l),
+df AS (SELECT w, count(*) AS df FROM lw WHERE w IN (FROM vocab) GROUP BY w),
+idf AS (SELECT vocab.w, ln((1 + n.n) / (1 + coalesce(df, 0))) + 1 AS idf FROM vocab CROSS JOIN n LEFT JOIN df ON vocab.w = df.w),
+tn AS (SELECT name, sqrt(sum((tf * idf) ** 2)) AS norm FROM tw JOIN idf USING (w) GROUP BY name),
+ln_ AS (SELECT doc_id, i, sqrt(sum((tf * coalesce(idf, ln(1 + n.n) + 1)) ** 2)) AS norm FROM lw CROSS JOIN n LEFT JOIN idf ON lw.w = idf.w GROUP BY doc_id, i),
+dot AS (SELECT doc_id, i, name, sum(lw.tf * tw.tf * idf * idf) AS dot FROM lw JOIN tw USING (w) JOIN idf USING (w) GROUP BY doc_id, i, name),
+best AS (SELECT doc_id, i, max(struct_pack(score := round(dot / (ln_.norm * tn.norm), 9), license := name)) AS m
+    FROM dot JOIN ln_ USING (doc_id, i) JOIN tn USING (name) GROUP BY doc_id, i),
+own AS (SELECT doc_id, max(m) AS own, count(*) AS good FROM best WHERE m.score >= {THRESHOLD} GROUP BY doc_id),
+f AS (SELECT d.doc_id, concat_ws('/', source, lang, CAST(d.doc_id AS VARCHAR) || '.txt') AS path, source AS up, source || '/' || lang AS dir, own,
+    own IS NOT NULL AND 2 * good >= (SELECT count(*) FROM l WHERE l.doc_id = d.doc_id) AS whole FROM documents d LEFT JOIN own ON d.doc_id = own.doc_id),
+given AS (SELECT dir, max(own) AS given FROM f WHERE whole GROUP BY dir)
+SELECT doc_id, path, own.license AS own_license, own.score AS own_score, CASE WHEN own IS NOT NULL THEN own.license ELSE given.license END AS license,
+    CASE WHEN own IS NOT NULL THEN 'own' WHEN given IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+    CASE WHEN own IS NULL AND given IS NOT NULL THEN f.dir END AS from_dir
+FROM f LEFT JOIN given ON f.dir = given.dir"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filter": urlrules.ORACLE_SQL, "op9_chat_format": chatformat.ORACLE_SQL}
+    return {
+        "op3_url_filter": urlrules.ORACLE_SQL,
+        "op5_licenses": _LICENSES,
+        "op9_chat_format": chatformat.ORACLE_SQL,
+        "op10_decontaminate": _DECONTAMINATE,
+    }
