@@ -14,21 +14,21 @@ THEIRS = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_r
 @settings(max_examples=300, deadline=None)
 @given(st.text(max_size=80))
 def test_any_text(text):
-    assert OURS.encode(text) == THEIRS.encode_ordinary(text)
+    assert OURS.encode(text).tolist() == THEIRS.encode_ordinary(text)
     assert OURS.decode(OURS.encode(text)) == text.encode()
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="ab cth'e\n\t\x1c\x85\xa0 éñ12!|", max_size=120))
 def test_dense_text(text):
-    assert OURS.encode(text) == THEIRS.encode_ordinary(text)
+    assert OURS.encode(text).tolist() == THEIRS.encode_ordinary(text)
 
 
 @pytest.mark.parametrize("text", ["a" * 20_000, "ab" * 5_000, " " * 9_999, "then" * 3_000 + "x", "<|endoftext|>", "", "é" * 7_777])
 def test_long_pre_tokens(text):
-    assert OURS.encode(text) == THEIRS.encode_ordinary(text)
+    assert OURS.encode(text).tolist() == THEIRS.encode_ordinary(text)
 
 
 def test_null_and_single_token():
-    assert OURS.encode(None) == []
+    assert OURS.encode(None).tolist() == []
     assert merge_ids(b"the", RANKS) == [RANKS[b"the"]]
