@@ -8,8 +8,9 @@ estimates of all depths on a context's path into the probability of a bit.
 
 Texts are dealt into blocks of about BLOCK_BYTES.  A block's distinct contexts
 with their next byte (grams) and distinct words go out once each, with their
-training counts; the trees are weighted where the grams of a three-byte context
-meet, and the code length of a gram goes back to the blocks that hold it.
+training counts, packed by the part of the key space they are in; the trees are
+weighted where the grams of a three-byte context meet, and the code length of a
+gram goes back to the blocks that hold it.
 Nothing that grows with the corpus is broadcast: only the trees' nodes of depth
 two or less are, and there are 2**24 of those at most.
 """
@@ -19,10 +20,10 @@ from __future__ import annotations
 import math
 import uuid
 from collections import Counter
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,16 +32,17 @@ from quern.llm.common import id_hash, shared_folder, small_batches, table, text_
 #: Bytes of context; a gram of DEPTH + 1 bytes has to fit in a long.
 DEPTH = 5
 BLOCK_BYTES = 16 << 20
-#: Rows of grams that one task weighs at a time.
-PART_ROWS = 1_000_000
-#: The token that ends a text; no word is empty.
-END = ""
+#: The token that ends a text; no word has white space.
+END = b"\n"
+GRAMS, TOKENS = 0, 1
 
 
 def written(df: DataFrame) -> DataFrame:
     """A Parquet table in the shared folder of ``spark.checkpoint.dir``: lineage is cut, and executors may go."""
     path = f"{shared_folder(df.sparkSession)}/quern-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # what led to the table is garbage now; its shuffle files go when the JVM's collector finds that
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.parquet(path)
 
 
@@ -49,7 +51,7 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     x = np.asarray(x, np.float64)
     shift = np.log(x * (x + 1) * (x + 2) * (x + 3)) + np.log((x + 4) * (x + 5) * (x + 6) * (x + 7))
     z = x + 8
-    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
+    return (z - 0.5) * np.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - 1 / (1680 * z**7) + 1 / (1188 * z**9) - shift
 
 
 def log_kt(n0, n1):
@@ -184,12 +186,50 @@ class Top:
         return np.where(seen1, self.p1[at1], p0) if len(self.k1) else p0
 
 
-def _gather(batches):
-    parts = [[], [], []]
-    for b in batches:
-        for p, i in zip(parts, range(3)):
-            p.append(b.column(i).to_numpy(zero_copy_only=False))
-    return [np.concatenate(p) if p else np.zeros(0, np.int64) for p in parts]
+def pack(values: np.ndarray) -> bytes:
+    """Numbers as compressed bytes, lowest bytes of all first."""
+    raw = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), -1).T)
+    return pa.compress(raw.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, kind) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = np.frombuffer(pa.decompress(data, n * width, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(raw.reshape(width, n).T).view(kind).ravel()
+
+
+def pack_sorted(values: np.ndarray) -> bytes:
+    return pack(np.diff(values, prepend=0))
+
+
+def unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpack(data, n, np.int64))
+
+
+_PACKED = "block int, part int, kind int, n int, size int, a binary, b binary"
+_NAMES = [c.split()[0] for c in _PACKED.split(", ")]
+
+
+def _packed(rows: list[tuple]) -> pa.Table:
+    """Rows of a block and a part: keys (sorted grams, or words joined by spaces) and their values."""
+    kinds = [pa.int32()] * 5 + [pa.binary()] * 2
+    columns = list(zip(*rows)) if rows else [[]] * len(kinds)
+    return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=_NAMES)
+
+
+def part_of(gram: np.ndarray, parts: int) -> np.ndarray:
+    """The part in which the grams of a three-byte context meet."""
+    x = (gram >> 8 * (DEPTH - 2)).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(33)) % np.uint64(parts)).astype(np.int64)
+
+
+def _unpack_tokens(r: dict) -> tuple[list[bytes], np.ndarray]:
+    text = pa.decompress(r["a"], r["size"], codec="zstd", asbytes=True)
+    return text.split(b" "), unpack(r["b"], r["n"], np.int64)
+
+
+def _rows(batches):
+    return [r for b in batches for r in b.to_pylist()]
 
 
 def _chunks(texts: list[bytes], most: int = 2 << 20):
@@ -204,58 +244,100 @@ def _chunks(texts: list[bytes], most: int = 2 << 20):
         yield start, len(texts)
 
 
-def _block_counts(block: pa.Table) -> pa.Table:
-    """(block, gram, token, n) of a block: distinct grams, then distinct tokens, with their training counts."""
-    texts = [text_bytes(t) for t in block.column("text").to_pylist()]
-    train = np.array(block.column("train").to_pylist(), bool)
-    keys, counts = [], []
-    for a, b in _chunks(texts):
-        g, at = grams_of(texts[a:b])
-        n = np.repeat(train[a:b].astype(np.int64), np.diff(at))
-        k, c = sum_by(g, n)
-        keys.append(k)
-        counts.append(c)
-    gram, n = sum_by(np.concatenate(keys), np.concatenate(counts))
-    words: Counter = Counter({END: int(train.sum())})
-    other: set[bytes] = set()
-    for t, known in zip(texts, train):
-        own = t.lower().split()
-        words.update(own) if known else other.update(own)
-    other -= words.keys()
-    token = [w if w == END else w.decode("utf-8", "surrogatepass") for w in [*words, *other]]
-    count = [*words.values(), *[0] * len(other)]
-    size = len(gram) + len(token)
-    return pa.table(
-        {
-            "block": pa.array(np.full(size, block.column("block")[0].as_py(), np.int32)),
-            "gram": pa.concat_arrays([pa.array(gram), pa.nulls(len(token), pa.int64())]),
-            "token": pa.concat_arrays([pa.nulls(len(gram), pa.string()), pa.array(token, pa.string())]),
-            "n": pa.concat_arrays([pa.array(n), pa.array(count, pa.int64())]),
-        }
-    )
+def _block_counts(parts: int):
+    """Distinct grams and distinct tokens of a block, with their training counts."""
+
+    def run(block: pa.Table) -> pa.Table:
+        name = block.column("block")[0].as_py()
+        texts = [text_bytes(t) for t in block.column("text").to_pylist()]
+        train = np.array(block.column("train").to_pylist(), bool)
+        keys, counts = [], []
+        for a, b in _chunks(texts):
+            g, at = grams_of(texts[a:b])
+            k, c = sum_by(g, np.repeat(train[a:b].astype(np.int64), np.diff(at)))
+            keys.append(k)
+            counts.append(c)
+        gram, n = sum_by(np.concatenate(keys), np.concatenate(counts))
+        part = part_of(gram, parts)
+        order = np.argsort(part, kind="stable")
+        gram, n, part = gram[order], n[order], part[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1))
+        rows = [
+            (name, int(part[i]), GRAMS, int(j - i), 0, pack_sorted(gram[i:j]), pack(n[i:j]))
+            for i, j in zip(cuts, [*cuts[1:], len(gram)])
+        ]
+        words: Counter = Counter({END: int(train.sum())})
+        other: set[bytes] = set()
+        for t, known in zip(texts, train):
+            own = t.lower().split()
+            words.update(own) if known else other.update(own)
+        of_part: dict[int, list[bytes]] = {}
+        for w in words.keys() | other:
+            of_part.setdefault(crc32(w) % parts, []).append(w)
+        for p, ws in of_part.items():
+            ws.sort()
+            text = b" ".join(ws)
+            c = np.array([words.get(w, 0) for w in ws], np.int64)
+            rows.append((name, p, TOKENS, len(ws), len(text), pa.compress(text, codec="zstd", asbytes=True), pack(c)))
+        return _packed(rows)
+
+    return run
+
+
+def _totals(rows: list[dict]) -> Counter:
+    """Training counts of the tokens that meet here."""
+    total: Counter = Counter()
+    for r in rows:
+        if r["kind"] == TOKENS:
+            tokens, c = _unpack_tokens(r)
+            for w, x in zip(tokens, c.tolist()):
+                total[w] += x
+    return total
+
+
+def _trees(rows: list[dict]) -> tuple[np.ndarray, Subtrees]:
+    """All grams that meet here, and the trees of those that occur in training texts."""
+    own = [r for r in rows if r["kind"] == GRAMS]
+    none = np.zeros(0, np.int64)
+    gram = np.concatenate([unpack_sorted(r["a"], r["n"]) for r in own] or [none])
+    gram, n = sum_by(gram, np.concatenate([unpack(r["b"], r["n"], np.int64) for r in own] or [none]))
+    return gram, Subtrees(gram[n > 0], n[n > 0])
 
 
 def _roots(batches):
-    _, gram, n = _gather(batches)
-    gram, n = sum_by(gram[n > 0], n[n > 0])
-    k, z, o, lw = Subtrees(gram, n).roots()
-    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(z), pa.array(o), pa.array(lw)], names=["k", "z", "o", "lw"])
+    """Nodes of depth 2 as far as they are known here; under the key -1 the training tokens and how many differ."""
+    rows = _rows(batches)
+    k, z, o, lw = _trees(rows)[1].roots()
+    c = np.array([x for x in _totals(rows).values() if x], np.float64)
+    yield pa.RecordBatch.from_arrays(
+        [
+            pa.array(np.append(k, -1)),
+            pa.array(np.append(z, c.sum())),
+            pa.array(np.append(o, len(c))),
+            pa.array(np.append(lw, 0.0)),
+        ],
+        names=["k", "z", "o", "lw"],
+    )
 
 
-def _log10s(top):
+def _answers(top):
+    """For every packed row: the same keys with their log10 probabilities, or training counts."""
+
     def run(batches):
-        block, gram, n = _gather(batches)
-        if not len(gram):
+        rows = _rows(batches)
+        if not rows:
             return
-        distinct, back = np.unique(gram, return_inverse=True)
-        total = np.bincount(back, n)
-        trees = Subtrees(distinct[total > 0], total[total > 0])
-        p = np.concatenate([trees.log10(distinct[i : i + 200_000], top.value) for i in range(0, len(distinct), 200_000)])
-        for i in range(0, len(gram), 100_000):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block[i : i + 100_000]), pa.array(gram[i : i + 100_000]), pa.array(p[back[i : i + 100_000]])],
-                names=["block", "gram", "log10"],
-            )
+        distinct, trees = _trees(rows)
+        step = 100_000
+        p = [trees.log10(distinct[i : i + step], top.value) for i in range(0, len(distinct), step)]
+        p = np.concatenate(p or [np.zeros(0)]).astype(np.float32)
+        total = _totals(rows)
+        for r in rows:
+            if r["kind"] == GRAMS:
+                r["b"] = pack(p[np.searchsorted(distinct, unpack_sorted(r["a"], r["n"]))])
+            else:
+                r["b"] = pack(np.array([total[w] for w in _unpack_tokens(r)[0]], np.int64))
+            yield from _packed([tuple(r[c] for c in _NAMES)]).to_batches()
 
     return run
 
@@ -266,19 +348,24 @@ def _block_scores(total: int, distinct: int):
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         texts = [text_bytes(t) for t in docs.column("text").to_pylist()]
-        is_gram = found.column("gram").is_valid()
-        grams, tokens = found.filter(is_gram), found.filter(pc.invert(is_gram))
-        key = grams.column("gram").to_numpy()
+        keys, values, count = [], [], {}
+        for r in found.to_pylist():
+            if r["kind"] == GRAMS:
+                keys.append(unpack_sorted(r["a"], r["n"]))
+                values.append(unpack(r["b"], r["n"], np.float32))
+            else:
+                tokens, c = _unpack_tokens(r)
+                count.update(zip(tokens, c.tolist()))
+        key = np.concatenate(keys)
         order = np.argsort(key)
-        key, log10 = key[order], grams.column("log10").to_numpy()[order]
-        count = dict(zip((t.encode("utf-8", "surrogatepass") for t in tokens.column("token").to_pylist()), tokens.column("c").to_pylist()))
+        key, log10 = key[order], np.concatenate(values)[order].astype(np.float64)
         score = np.zeros(len(texts))
         for a, b in _chunks(texts):
             g, at = grams_of(texts[a:b])
             score[a:b] = np.add.reduceat(log10[np.searchsorted(key, g)], at[:-1])
         n_tokens, n_known, base = [], [], []
         for t in texts:
-            c = np.array([*map(count.__getitem__, t.lower().split()), count[b""]], np.float64)
+            c = np.array([*map(count.__getitem__, t.lower().split()), count[END]], np.float64)
             n_tokens.append(len(c))
             n_known.append(int((c > 0).sum()))
             base.append(float(np.log10((c + 0.1) / low).sum()))
@@ -316,32 +403,20 @@ def score_texts(docs: DataFrame, train, doc_id: str = "doc_id", text: str = "tex
         F.coalesce(train, F.lit(False)).alias("train"),
     )
     blocks = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks)).cast("int"))
-    counted = written(
-        blocks.groupBy("block").applyInArrow(_block_counts, "block int, gram long, token string, n long")
-    )
-    # probabilities of grams
-    grams = counted.where("gram is not null").select("block", "gram", "n")
-    parts = max(1, math.ceil(grams.count() / PART_ROWS))
-    met = grams.repartition(max(parts, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.shiftright("gram", 8 * (DEPTH - 2)))
+    parts = max(2 * n_blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counted = written(blocks.groupBy("block").applyInArrow(_block_counts(parts), _PACKED))
+    met = counted.repartition(parts, "part")
     tops = met.mapInArrow(_roots, "k long, z double, o double, lw double")
     tops = tops.groupBy("k").agg(*(F.sum(c).alias(c) for c in ("z", "o", "lw"))).toPandas()
+    seen, tops = tops[tops.k == -1], tops[tops.k >= 0]
     top = spark.sparkContext.broadcast(Top(tops.k.to_numpy(), tops.z.to_numpy(), tops.o.to_numpy(), tops.lw.to_numpy()))
-    log10s = met.mapInArrow(_log10s(top), "block int, gram long, log10 double")
-    # counts of tokens
-    tokens = counted.where("token is not null").select("block", "token", "n")
-    totals = tokens.groupBy("token").agg(F.sum("n").alias("c"))
-    seen = totals.where("c > 0").agg(F.sum("c").alias("n"), F.count("*").alias("v")).first()
-    known = tokens.select("block", "token").join(totals, "token")
-    none = lambda kind: F.lit(None).cast(kind)
-    found = log10s.select("block", "gram", none("string").alias("token"), "log10", none("long").alias("c")).unionAll(
-        known.select("block", none("long").alias("gram"), "token", none("double").alias("log10"), "c")
-    )
+    found = met.mapInArrow(_answers(top), _PACKED)
     kind = dict(rows.dtypes)["doc_id"]
     return (
         blocks.groupBy("block")
         .cogroup(found.groupBy("block"))
         .applyInArrow(
-            _block_scores(seen.n or 0, seen.v),
+            _block_scores(int(seen.z.sum()), int(seen.o.sum())),
             f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double",
         )
     )
