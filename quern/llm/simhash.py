@@ -286,6 +286,22 @@ def near_links(fps: DataFrame, tau: int = TAU, fp: str = "fp") -> DataFrame:
     )
 
 
+def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, fp) of every row."""
+    small_batches(docs.sparkSession)
+    return cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
+
+
+def _roots(prints: DataFrame, tau: int = TAU) -> DataFrame:
+    """(fp, least, root) of every distinct fingerprint: its smallest doc_id, and the root that names its component."""
+    roots = components(near_links(prints, tau))
+    # fingerprints without a link are their own root
+    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    return least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU
 ) -> DataFrame:
@@ -296,14 +312,8 @@ def near_duplicates(
     that repeat an id are kept; a null id never is a component's smallest unless
     all its ids are null.  Only fingerprints are shuffled, never texts.
     """
-    small_batches(docs.sparkSession)
-    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
-    roots = components(near_links(prints, tau))
-    # fingerprints without a link are their own root
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    named = least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    prints = _prints(docs, doc_id, text)
+    named = _roots(prints, tau)
     tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
     of_fp = named.join(tops, "root").select("fp", "component_id")
     return prints.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
@@ -317,11 +327,14 @@ def op6_simhash(spark, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each group: that with the smallest id.  Columns stay as they are.
 
-    Of rows that repeat that id in the group, those of the smallest fingerprint
-    stand for it, and of those with the same fingerprint one stays.
+    A group is a component of fingerprints, whatever its ids: groups that share an
+    id, or have null ids only, keep a document each.  Of rows that repeat that id
+    in the group, those of the smallest fingerprint stand for it, and of those
+    with the same fingerprint one stays.
     """
-    own = near_duplicates(docs, doc_id, text).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = own.groupBy(F.col("doc_id").alias("__id")).agg(F.min("fp").alias("__kept"))
+    named = _roots(_prints(docs, doc_id, text))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
+    kept = named.groupBy("root").agg(first).select(F.col("first.least").alias("__id"), F.col("first.fp").alias("__kept"))
     marked = docs.withColumn("__fp", _fingerprints(F.col(text)))
     same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept"))
     return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, "__fp"]).select(*docs.columns)

@@ -83,3 +83,13 @@ def test_odd_rows(spark, odd):
     ids = sorted((r.doc_id is None, r.doc_id) for r in kept.collect())
     assert [i for _, i in ids] == [1, 2, 6, 7, 8, 9, None] and kept.columns == odd.columns
     assert near_duplicates(odd.limit(0)).count() == 0 and keep_one(odd.limit(0)).count() == 0
+
+
+def test_keep_one_keeps_a_document_of_each_group(spark):
+    fruit, tools = "apple pear plum cherry grape melon fig", "hammer saw drill wrench pliers chisel rasp"
+    birds, fish = "robin wren finch crow heron swift owl", "trout pike carp perch eel cod sole"
+    rows = [(1, fruit), (1, tools), (2, fruit), (None, birds), (None, birds), (None, fish), (None, tools), (3, fish + " ray"), (1, fruit)]
+    kept = keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(repr, kept)) == sorted(
+        f"Row(doc_id={i}, text={t!r})" for i, t in [(1, fruit), (1, tools), (None, birds), (None, fish), (3, fish + " ray")]
+    )
