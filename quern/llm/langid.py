@@ -284,8 +284,13 @@ def op7_language(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents that get a language (those without text or letters go), with their own columns only."""
+    """The documents that get a language (those without text or letters go), with their own columns only.
+
+    The score rejects none.  Without a model every text with a letter stays.
+    """
     model = trained_on(docs)
+    if model is None:
+        return docs.where(F.rlike("text", F.lit("\\p{L}")))
     return (
         docs.withColumn("__lang", predict(F.col("text"), model, docs.sparkSession))
         .where(F.col("__lang")["lang"] != "und")

@@ -186,3 +186,10 @@ def test_language_held_out_and_odd_rows(spark, odd, monkeypatch):
     assert odd.select(langid.predict(F.col("text"), None, spark).alias("p")).where("p.lang <> 'und'").count() == 0
     kept = langid.keep_known(df.unionByName(odd.select("doc_id", "text", "lang")))
     assert kept.where("doc_id is null or text = 'a'").count() >= 1 and kept.columns == df.columns
+
+
+def test_keep_known_without_a_model(spark, odd):
+    unlabelled = odd.withColumn("lang", F.lit(None).cast("string"))
+    kept = langid.keep_known(unlabelled)
+    assert kept.columns == unlabelled.columns
+    assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [*((False, i) for i in (1, 5, 6, 8, 9)), (True, None)]
