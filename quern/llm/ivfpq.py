@@ -23,7 +23,7 @@ SAMPLE = 16_384
 MAX_CELLS, SUBSPACES, CODEWORDS = 4096, 16, 256
 #: Share of the cells that a query probes, and at least so many.
 PROBE_SHARE, PROBES = 0.65, 32
-#: Vectors of a block; candidates reranked for each query in each block.
+#: Vectors of a block; candidates reranked for each query in each block, or twice k if that is more.
 BLOCK_ROWS, RERANK = 20_000, 100
 
 
@@ -153,7 +153,7 @@ def _probe(model, sizes: np.ndarray, k: int, block_rows: int):
 
 
 def _search(model, k: int):
-    """The k nearest of one block for each query that probes it, by exact distance among the RERANK best codes."""
+    """The k nearest of one block for each query that probes it, by exact distance among the RERANK (or 2 k) best codes."""
 
     def run(held: pa.Table, asked: pa.Table) -> pa.Table:
         ivf = model.value
@@ -173,7 +173,7 @@ def _search(model, k: int):
                 for j, t in enumerate(ivf.tables(some - centroid)):
                     d += t[:, code[:, j]]
                 for row, own, vec in zip(d, queries[i : i + step], some.astype(np.float64)):
-                    n = RERANK + 1
+                    n = max(RERANK, 2 * k) + 1
                     if len(row) > n:
                         bound = np.partition(row, n - 1)[n - 1]
                         near = np.flatnonzero(row < bound)

@@ -91,6 +91,14 @@ def test_blocks_of_a_cell(spark, monkeypatch):
     assert frame_rows(ivfpq.search(df, df.where("vec_id % 100 = 0")), "query_id", "rank", "vec_id") == once
 
 
+def test_search_for_more_than_are_reranked_by_default(spark):
+    rng = np.random.default_rng(7)
+    x = np.concatenate([np.ones((300, 4)), rng.normal(size=(100, 4)) + 9]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sorted(ivfpq.search(df, df.where("vec_id = 0"), k=250).collect(), key=lambda r: r["rank"])
+    assert len(got) == 250 and all(0 < r.vec_id < 300 and r.score == 0.0 for r in got)
+
+
 # -- chat -----------------------------------------------------------------------------
 
 
