@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,16 +27,48 @@ def small_batches(spark: SparkSession) -> None:
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which all executors share.
 
-    Where neither that setting nor a checkpoint directory is given (tests on one
-    machine), a temporary folder is used.
+    Where neither that setting nor a checkpoint directory is given, a local master
+    (tests on one machine) gets a temporary folder; any other is refused.
     """
     context = spark.sparkContext._jsc.sc()
     if not context.getCheckpointDir().isDefined():
         shared = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quern-checkpoint-"))
+        if shared is None:
+            if not spark.sparkContext.master.split("[")[0] == "local":
+                raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+            shared = tempfile.mkdtemp(prefix="quern-checkpoint-")
+        spark.sparkContext.setCheckpointDir(shared)
     return context.getCheckpointDir().get()
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; what is there goes when the driver ends, if not deleted before."""
+    path = f"{shared_folder(spark)}/quern-{uuid.uuid4().hex}"
+
+    def gone():
+        try:
+            if spark.sparkContext._jsc is not None:
+                delete(spark, path)
+        except Exception:  # the JVM has ended already
+            pass
+
+    atexit.register(gone)
+    return path
+
+
+def written(df: DataFrame, *partitions: str) -> DataFrame:
+    """A Parquet table in the shared folder: lineage is cut, and executors may go."""
+    path = scratch(df.sparkSession)
+    df.write.partitionBy(*partitions).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)

@@ -1,3 +1,4 @@
+import functools
 import itertools
 import math
 
@@ -12,7 +13,7 @@ from quern.llm import ctw, langid, toxicity
 
 
 def brute_ctw(train, text, depth):
-    """Weights by plain recursion over dictionaries of contexts."""
+    """The root's weighted probability with the next bit over that without it, by the definition of the weights."""
     counts = {}
     for t in train:
         seq = bytes(depth) + t + b"\0"
@@ -21,37 +22,37 @@ def brute_ctw(train, text, depth):
                 node, bit = 1 << j | seq[i] >> (8 - j), seq[i] >> (7 - j) & 1
                 for d in range(depth + 1):
                     counts.setdefault((node, seq[i - d : i]), [0, 0])[bit] += 1
-
-    def kt(a, b):
-        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
-
     children = {}
     for node, c in counts:
         if c:
-            children.setdefault((node, c[1:]), []).append((node, c))
+            children.setdefault((node, c[1:]), set()).add((node, c))
 
-    def weight(key):
-        own = kt(*counts[key])
-        if len(key[1]) == depth:
-            return own
-        return np.logaddexp(own, sum(weight(c) for c in children[key])) - math.log(2)
+    def kt(a, b):
+        return math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+
+    @functools.cache
+    def weight(node, context):
+        if len(context) == depth:
+            return kt(*counts[node, context])
+        return np.logaddexp(kt(*counts[node, context]), sum(weight(*c) for c in children.get((node, context), ()))) - math.log(2)
+
+    def with_bit(node, context, d, bit):
+        """The weight after one more bit in the context of full depth; a node that was never met has no counts and weight one."""
+        own = context[depth - d :]
+        n = list(counts.get((node, own), (0, 0)))
+        n[bit] += 1
+        if d == depth:
+            return kt(*n)
+        path = (node, context[depth - d - 1 :])
+        rest = sum(weight(*c) for c in children.get((node, own), ()) if c != path)
+        return np.logaddexp(kt(*n), rest + with_bit(node, context, d + 1, bit)) - math.log(2)
 
-    memo = {k: weight(k) for k in counts}
     total, seq = 0.0, bytes(depth) + text + b"\0"
     for i in range(depth, len(seq)):
         for j in range(8):
             node, bit = 1 << j | seq[i] >> (8 - j), seq[i] >> (7 - j) & 1
-            p, rest, last = 0.0, 1.0, 0.5
-            for d in range(depth + 1):
-                key = (node, seq[i - d : i])
-                if key not in counts:
-                    break
-                a, b = counts[key]
-                last = (b + 0.5) / (a + b + 1)
-                share = 1.0 if d == depth else math.exp(kt(a, b) - math.log(2) - memo[key])
-                p, rest = p + rest * share * last, rest * (1 - share)
-            p += rest * last
-            total += math.log10(p if bit else 1 - p)
+            before = weight(node, b"") if (node, b"") in counts else 0.0
+            total += (with_bit(node, seq[i - depth : i], 0, bit) - before) / math.log(10)
     return total
 
 
@@ -70,6 +71,45 @@ def test_ctw_against_brute_force(spark):
     assert r.base_score == pytest.approx(sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in counts.values()))
 
 
+def test_ctw_blocks_parts_and_repeats(spark, monkeypatch):
+    """Many blocks, parts, slices and merges score as one does, and all of them as the definition says."""
+    rng = np.random.default_rng(8)
+    texts = ["".join(rng.choice(list("abc de\u00e9"), rng.integers(0, 60))) for _ in range(120)] + ["ab c"] * 40
+    rows = [(7 if i >= 120 else i, t, i % 5 != 0) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, learn boolean").repartition(3)
+
+    def scores():
+        found = ctw.score_texts(df, F.col("learn")).collect()
+        return sorted((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 4)) for r in found)
+
+    once = scores()
+    raw = [t.encode() for _, t, learn in rows if learn]
+    for i in (0, 5, 10, 121):
+        want = round(brute_ctw(raw, texts[i].encode(), ctw.DEPTH), 4)
+        assert any(r[0] == rows[i][0] and r[6] == pytest.approx(want, abs=2e-4) for r in once)
+    for name, value in (("BLOCK_BYTES", 700), ("PART_BYTES", 100)):
+        monkeypatch.setattr(ctw, name, value)
+    many = scores()
+    assert [r[:6] for r in many] == [r[:6] for r in once] and np.allclose([r[6] for r in many], [r[6] for r in once], atol=2e-4)
+
+
+def test_ctw_slices_and_merges(monkeypatch):
+    rng = np.random.default_rng(9)
+    texts, train = [bytes(rng.choice(list(b"abcd "), 300).tolist()) for _ in range(30)], np.arange(30) % 4 > 0
+
+    def both():
+        blocks = [dict(zip(("part", "kind", "n", "size", "a", "b"), r)) for i in (0, 15) for r in ctw.count_block(texts[i : i + 15], train[i : i + 15], 1)]
+        gram, n, total = ctw._meet(blocks)
+        top = ctw.Top(*ctw.sum_by(*map(np.concatenate, zip(*(ctw.Trees(gram[a:b], n[a:b]).roots() for a, b in ctw._slices(gram))))))
+        return gram, n, total, np.concatenate([ctw.Trees(gram[a:b], n[a:b]).log10(top) for a, b in ctw._slices(gram)])
+
+    once = both()
+    for name, value in (("SLICE", 20), ("WAITING", 50), ("PLACE", 3)):
+        monkeypatch.setattr(ctw, name, value)
+    many = both()
+    assert (once[0] == many[0]).all() and (once[1] == many[1]).all() and once[2] == many[2] and np.allclose(once[3], many[3])
+
+
 def test_ctw_odd_rows(spark, odd):
     got = ctw.score_texts(odd, F.col("doc_id") < 6)
     assert got.count() == odd.count() and got.where("score is null or score > 0 or isnan(score)").count() == 0
