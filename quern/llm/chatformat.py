@@ -75,13 +75,13 @@ def op9_chat_format(spark, sf_dir: str) -> DataFrame:
     """Conversations 2n and 2n + 1 are the chosen and the rejected one of pair n."""
     turns = table(spark, sf_dir, "conversations")
     side = F.when(F.col("conv_id") % 2 == 0, "chosen").otherwise("rejected")
-    pair = F.floor(F.col("conv_id") / 2).alias("pair_id")
+    pair = F.shiftright(F.col("conv_id"), 1).alias("pair_id")
     return preference_pairs(turns.select(pair, side.alias("side"), "turn", "role", "text"))
 
 
 ORACLE_SQL = f"""
 WITH t AS (
-  SELECT CAST(floor(conv_id / 2) AS BIGINT) AS pair_id,
+  SELECT CAST(conv_id >> 1 AS BIGINT) AS pair_id,
     CASE WHEN conv_id % 2 = 0 THEN 'chosen' ELSE 'rejected' END AS side, role, text,
     row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, role NULLS FIRST, text NULLS FIRST) AS pos
   FROM conversations WHERE conv_id IS NOT NULL),

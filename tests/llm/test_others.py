@@ -119,6 +119,16 @@ def test_chat_against_sql_and_odd_rows(spark, tmp_path):
         assert side[:a].endswith("<|assistant|>\n") and side[b - 8 : b] == "<|end|>\n"
 
 
+def test_chat_ids_beyond_doubles(spark, tmp_path):
+    ids = [2**54 + i for i in range(6)] + [-2, -1, -3]
+    spark.createDataFrame([(i, 0, "user", str(i)) for i in ids], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.pair_id: (r.chosen, r.rejected) for r in chatformat.op9_chat_format(spark, str(tmp_path)).collect()}
+    assert set(got) == {2**53, 2**53 + 1, 2**53 + 2, -1, -2} and all(str(2 * k) in got[k][0] and str(2 * k + 1) in got[k][1] for k in got if k != -2)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    assert {r[0] for r in c.sql(f"SELECT pair_id FROM ({chatformat.ORACLE_SQL})").fetchall()} == set(got)
+
+
 def test_chat_empty(spark):
     df = spark.createDataFrame([], "pair_id long, side string, turn long, role string, text string")
     assert chatformat.preference_pairs(df).count() == 0
