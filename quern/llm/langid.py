@@ -1,27 +1,33 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Both directions read a segment of bytes; every position gets a distribution
-over the languages from the two states there, and a document's distribution is
-the mean over its positions.  Training is in numpy by backpropagation through
-time with Adam, on a bounded sample of segments.
+Every position of a text gets a distribution over the languages from the states
+of both directions there, and a document's distribution is the mean over its
+positions.  Texts longer than SEGMENT bytes are read in windows that overlap: a
+direction starts HALO bytes before the first position that counts, so that no
+position lacks its neighbours.  Training is in numpy by backpropagation through
+time with Adam, on pieces drawn over the whole texts of a bounded sample of rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.llm.common import id_hash, small_batches, table, text_bytes
 
 HIDDEN = 8
-#: Texts are read in segments of so many bytes; each starts both directions anew.
-SEGMENT = 192
-#: Training takes at most so many documents of each language (those of the smallest hashes), and so many segments of each.
-SAMPLE_DOCS, SAMPLE_SEGMENTS, SAMPLE_LANGS = 400, 2, 256
+#: Positions of a window that count, and bytes that a direction reads before them.
+SEGMENT, HALO = 256, 32
+#: Training takes at most so many documents of each language (those of the smallest hashes; fewer, if there are more than
+#: SAMPLE_ROWS / SAMPLE_DOCS languages, but one at least), with at most so many characters in all, shared evenly.
+SAMPLE_DOCS, SAMPLE_ROWS, SAMPLE_CHARS = 400, 40_000, 8_000_000
+#: Numbers of the largest array that scoring makes.
+ROOM = 4_000_000
 STEPS, BATCH, SPAN, RATE = 500, 128, 64, 0.02
 
 _CASE = np.arange(256)
@@ -107,15 +113,18 @@ class BiGru:
                 ds = ds * (1 - z) + drs * r + u[: 2 * h].T @ da[: 2 * h]
         return loss / steps, grads
 
-    def fit(self, segments: np.ndarray, y: np.ndarray, steps: int = STEPS, seed: int = 11) -> BiGru:
+    def fit(self, texts: list[np.ndarray], y: np.ndarray, steps: int = STEPS, seed: int = 11) -> BiGru:
+        """Steps of Adam on pieces drawn from texts (each its pieces (n, SPAN)) with a label each; languages and texts are drawn alike."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v = {k: np.zeros_like(w) for k, w in self.p.items()}
-        # every language is drawn alike
+        pieces, size = np.concatenate(texts), np.array([len(t) for t in texts])
+        start = np.cumsum(size) - size
         of = [np.flatnonzero(y == k) for k in range(len(self.langs))]
         for i in range(1, steps + 1):
             pick = np.concatenate([rng.choice(o, max(1, BATCH // len(of))) for o in of])
-            _, g = self.loss_and_gradient(_CASE[segments[pick]].T, y[pick])
+            own = start[pick] + rng.integers(0, size[pick])
+            _, g = self.loss_and_gradient(_CASE[pieces[own]].T, y[pick])
             norm = np.sqrt(sum(float((w * w).sum()) for w in g.values()))
             rate = RATE * min(1.0, 2 * (1 - i / (steps + 1)))
             for k in self.p:
@@ -137,21 +146,22 @@ class BiGru:
             out.append((np.ascontiguousarray(w), np.ascontiguousarray(u[: 2 * h]), np.ascontiguousarray(u[2 * h :])))
         return out, self.p["V"], self.p["c"]
 
-    def sums(self, x: np.ndarray, ready, mask: np.ndarray | None = None) -> np.ndarray:
-        """Sum over the positions of each segment of the position's distribution, (K, N), for x (T, N).
+    def sums(self, x: np.ndarray, ready, mask: np.ndarray | None = None, lead: int = 0, tail: int = 0) -> np.ndarray:
+        """Sum over the positions of each window of the position's distribution, (K, N), for x (T, N).
 
-        mask (T, N) is given for segments that are not full: the first len rows are true.
+        mask (T, N) says which bytes are there; the others leave the states as they
+        are.  The first ``lead`` and the last ``tail`` steps are read, but not counted.
         """
         h, (dirs, v, c) = self.h, ready
         steps, n = x.shape
-        logits = np.empty((steps, len(v), n), np.float32)
+        logits = np.empty((steps - lead - tail, len(v), n), np.float32)
         logits[:] = c
         for d, (w, ug, uc) in enumerate(dirs):
             vd = np.ascontiguousarray(v[:, d * h : (d + 1) * h])
             s = np.zeros((h, n), np.float32)
             a, g, k, rs = (np.empty((r, n), np.float32) for r in (3 * h, 2 * h, h, h))
             out = np.empty((len(v), n), np.float32)
-            for t in range(steps) if d == 0 else range(steps - 1, -1, -1):
+            for t in range(steps - tail) if d == 0 else range(steps - 1, lead - 1, -1):
                 np.take(w, x[t], axis=1, out=a, mode="clip")
                 np.matmul(ug, s, out=g)
                 g += a[: 2 * h]
@@ -165,83 +175,113 @@ class BiGru:
                 if mask is not None:
                     k *= mask[t]
                 s += k
-                np.matmul(vd, s, out=out)
-                logits[t] += out
+                if lead <= t < steps - tail:
+                    np.matmul(vd, s, out=out)
+                    logits[t - lead] += out
         total = np.zeros((len(v), n), np.float32)
-        for t in range(steps):
+        for t in range(len(logits)):
             o = logits[t]
             o -= o.max(0)
             np.exp(o, out=o)
             o /= o.sum(0)
             if mask is not None:
-                o *= mask[t]
+                o *= mask[t + lead]
             total += o
         return total
 
     def documents(self, texts: list[bytes], ready) -> np.ndarray:
-        """Pooled distributions (documents, K): mean over all positions of all segments; zero for an empty text."""
-        data = np.frombuffer(b"".join(texts) + bytes(SEGMENT), np.uint8)
-        lens = np.array([len(t) for t in texts])
-        starts = np.concatenate(([0], np.cumsum(lens)[:-1])) if len(lens) else lens
-        full = lens // SEGMENT
+        """Pooled distributions (documents, K): mean over all positions; zero for an empty text."""
+        data = np.frombuffer(bytes(HALO) + b"".join(texts) + bytes(SEGMENT + HALO), np.uint8)
+        lens = np.array([len(t) for t in texts], np.int64)
+        starts = np.cumsum(lens) - lens + HALO
         out = np.zeros((len(texts), len(self.langs)))
 
-        def add(at: np.ndarray, size: np.ndarray, doc: np.ndarray):
-            for i in range(0, len(at), 2048):
-                a, n = at[i : i + 2048], size[i : i + 2048]
-                top = int(n.max())
-                x = data[a[None, :] + np.arange(top)[:, None]]
-                mask = None if n.min() == top else (np.arange(top)[:, None] < n[None, :]).astype(np.float32)
-                np.add.at(out, doc[i : i + 2048], self.sums(x, ready, mask).T)
-
-        doc = np.repeat(np.arange(len(texts)), full)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(full) - full, full)
-        add(starts[doc] + nth * SEGMENT, np.full(len(doc), SEGMENT), doc)
-        rest = lens % SEGMENT
-        order = np.argsort(rest, kind="stable")
-        order = order[rest[order] > 0]
+        def add(doc: np.ndarray, at: np.ndarray, halo: int):
+            """Windows of the documents from the given places, ``halo`` wider on both sides."""
+            wide = max(1, min(2048, ROOM // (SEGMENT * len(self.langs))))
+            for i in range(0, len(doc), wide):
+                own, a = doc[i : i + wide], at[i : i + wide]
+                core = min(SEGMENT, int((lens[own] - a).max()))
+                place = a[None, :] + np.arange(-halo, core + halo)[:, None]
+                there = (place >= 0) & (place < lens[own][None, :])
+                x = data[np.minimum(starts[own] + place, len(data) - 1)]
+                mask = None if there.all() else there.astype(np.float32)
+                np.add.at(out, own, self.sums(x, ready, mask, halo, halo).T)
+
+        n = np.where(lens > SEGMENT, -(-lens // SEGMENT), 0)
+        doc = np.repeat(np.arange(len(texts)), n)
+        at = (np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)) * SEGMENT
+        for full in (True, False):  # windows inside a text, then those at its ends
+            some = ((at >= HALO) & (at + SEGMENT + HALO <= lens[doc])) == full
+            add(doc[some], at[some], HALO)
+        order = np.argsort(lens, kind="stable")
+        order = order[(lens[order] > 0) & (lens[order] <= SEGMENT)]
         for part in np.array_split(order, max(1, len(order) // 64)):
             if len(part):
-                add(starts[part] + full[part] * SEGMENT, rest[part], part)
+                add(part, np.zeros(len(part), np.int64), 0)
         return out / np.maximum(lens, 1)[:, None]
 
 
-def segments_of(text: bytes, n: int, rng) -> list[np.ndarray]:
-    """n segments of SPAN bytes from places drawn over the whole text; a shorter text is repeated to fill one."""
-    raw = np.frombuffer((text + b" ") * (SPAN // (len(text) + 1) + 1) if len(text) < SPAN else text, np.uint8)
-    return [raw[i : i + SPAN] for i in rng.integers(0, len(raw) - SPAN + 1, n)]
+def pieces_of(text: bytes) -> np.ndarray:
+    """The whole text in pieces of SPAN bytes, (n, SPAN); the last one ends where the text does, a shorter text is repeated to fill one."""
+    raw = np.frombuffer((text + b" ") * SPAN if len(text) < SPAN else text, np.uint8)
+    if len(text) < SPAN:
+        raw = raw[:SPAN]
+    at = np.append(np.arange(0, len(raw) - SPAN, SPAN), len(raw) - SPAN)
+    return raw[at[:, None] + np.arange(SPAN)]
+
+
+def chosen(sizes: list[tuple], langs: list[str]) -> list[tuple]:
+    """Of rows (lang, key, characters) the keys to learn from: by key while they fit the language's share; the shortest, if none does."""
+    room = SAMPLE_CHARS // len(langs)
+    out = []
+    for y in langs:
+        own, used, got = sorted(r[1:] for r in sizes if r[0] == y), 0, []
+        for k, n in own:
+            if used + n <= room:
+                used += n
+                got.append(k)
+        if own and not got:
+            got = [min(own, key=lambda r: (r[1], r[0]))[0]]
+        out += [(y, k) for k in got]
+    return out
 
 
-def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "__key") -> BiGru | None:
-    """Fit on a bounded sample: of each of at most SAMPLE_LANGS languages SAMPLE_DOCS documents, by hash of ``key``.
+def train(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> BiGru | None:
+    """Fit on a bounded sample: of each language SAMPLE_DOCS documents, by hash of ``key`` and text, within SAMPLE_CHARS.
 
-    Rows without language or without a letter are left out; with none left there is no model.
+    Every language that has a usable row is learnt.  Rows without language or
+    without a letter are left out, rows that repeat count once; with none left
+    there is no model.
     """
-    rows = labelled.select(F.col(text).alias("t"), F.col(lang).alias("y"), F.xxhash64(key).alias("k"))
+    spark = labelled.sparkSession
+    rows = labelled.select(F.col(text).alias("t"), F.col(lang).cast("string").alias("y"), F.xxhash64(key, text).alias("k"))
     rows = rows.where("y is not null and t is not null").where(F.rlike("t", F.lit("\\p{L}")))
-    counts = rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(SAMPLE_LANGS).collect()
+    counts = rows.groupBy("y").count().collect()  # a row for each language
     if not counts:
         return None
     langs = sorted(r["y"] for r in counts)
-    n = {r["y"]: r["count"] for r in counts}
-    # rows under a bound of the hash, so that no group is gathered; the bound leaves about twice as many as are kept
-    share = F.coalesce(*[F.when(F.col("y") == y, F.lit(min(1.0, 2.5 * SAMPLE_DOCS / n[y]))) for y in langs])
-    drawn = rows.where(F.pmod(F.col("k"), F.lit(1_000_003)) < share * 1_000_003)
-    # of a long text a piece of 4,000 characters from a place drawn over the whole of it
-    place = 1 + F.pmod(F.xxhash64("k"), F.greatest(F.lit(1), F.length("t") - 3_999))
-    piece = F.substring("t", place, F.lit(4_000)).alias("t")
-    drawn = drawn.select("y", "k", piece).orderBy("k", "t").limit(4 * SAMPLE_DOCS * len(langs))
-    rng, seen, segs, ys = np.random.default_rng(5), dict.fromkeys(langs, 0), [], []
-    for r in drawn.collect():
-        if seen[r["y"]] < SAMPLE_DOCS:
-            seen[r["y"]] += 1
-            new = segments_of(text_bytes(r["t"]), SAMPLE_SEGMENTS, rng)
-            segs += new
-            ys += [langs.index(r["y"])] * len(new)
-    langs_seen = [y for y in langs if seen[y]]
-    model = BiGru(langs_seen)
-    keep = {langs.index(y): i for i, y in enumerate(langs_seen)}
-    return model.fit(np.stack(segs), np.array([keep[y] for y in ys]))
+    each = max(1, min(SAMPLE_DOCS, SAMPLE_ROWS // len(langs)))
+    sizes: list[tuple] = []
+    # first only rows under a bound of the hash, which leaves about twice as many as are kept; where repeated rows make
+    # that too few, all rows of the language
+    for bounded in (True, False):
+        short = [(r["y"], min(1.0, 2.5 * each / r["count"]) if bounded else 1.0) for r in counts]
+        if not bounded:
+            have = Counter(y for y, _, _ in sizes)
+            short = [(r["y"], 1.0) for r in counts if have[r["y"]] < min(each, r["count"]) and 2.5 * each < r["count"]]
+            sizes = [r for r in sizes if r[0] not in {y for y, _ in short}]
+        if short:
+            share = F.broadcast(spark.createDataFrame(short, "y string, share double"))  # a row for each language
+            drawn = rows.join(share, "y").where(F.pmod(F.col("k"), F.lit(1_000_003)) < F.col("share") * 1_000_003)
+            drawn = drawn.groupBy("y", "k").agg(F.max(F.length("t")).alias("n"))
+            nth = F.row_number().over(Window.partitionBy("y").orderBy("k"))
+            sizes += [(r.y, r.k, r.n) for r in drawn.withColumn("nth", nth).where(F.col("nth") <= each).collect()]
+    wanted = F.broadcast(spark.createDataFrame(chosen(sizes, langs), "y string, k long"))  # SAMPLE_ROWS at most
+    texts = rows.join(wanted, ["y", "k"], "left_semi").groupBy("y", "k").agg(F.min("t").alias("t")).collect()
+    found = sorted((r.y, r.k, r.t) for r in texts)
+    langs = sorted({y for y, _, _ in found})
+    return BiGru(langs).fit([pieces_of(text_bytes(t)) for _, _, t in found], np.array([langs.index(y) for y, _, _ in found]))
 
 
 def predict(text: Column, model: BiGru | None, spark) -> Column:
@@ -272,11 +312,14 @@ def predict(text: Column, model: BiGru | None, spark) -> Column:
 
 def trained_on(docs: DataFrame) -> BiGru | None:
     """A model of the documents whose crc32(doc_id as text) mod 5 is not 0."""
-    own = docs.select("text", "lang", id_hash("doc_id").alias("__hash"), F.col("doc_id").alias("__key"))
-    return train(own.where(F.col("__hash") % 5 != 0))
+    return train(docs.where(id_hash("doc_id") % 5 != 0).select("doc_id", "text", "lang"))
 
 
 def op7_language(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents``, learning from labelled rows whose crc32(doc_id as text) mod 5 is not 0.
+
+    A row for each row; null, empty and letterless texts are ``und`` with score 0.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     guess = predict(F.col("text"), trained_on(docs), spark)
     found = docs.select("doc_id", (id_hash("doc_id") % 5 == 0).alias("held_out"), guess.alias("p"))
@@ -284,15 +327,11 @@ def op7_language(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
-    """The documents that get a language (those without text or letters go), with their own columns only.
+    """The documents that get a language (those without text or letters go), with their own columns, whatever those are called.
 
     The score rejects none.  Without a model every text with a letter stays.
     """
     model = trained_on(docs)
     if model is None:
         return docs.where(F.rlike("text", F.lit("\\p{L}")))
-    return (
-        docs.withColumn("__lang", predict(F.col("text"), model, docs.sparkSession))
-        .where(F.col("__lang")["lang"] != "und")
-        .select(*docs.columns)
-    )
+    return docs.where(predict(F.col("text"), model, docs.sparkSession)["lang"] != "und")
