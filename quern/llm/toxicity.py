@@ -3,9 +3,15 @@
 Documents have labels, tokens have not.  Of a bounded sample of labelled
 documents, the token forms (whole words and word beginnings) that stand in many
 toxic and hardly any other documents label the tokens.  A chain of the two
-states clean and toxic is then trained on those tokens by gradient ascent on its
-conditional likelihood.  Scoring runs forward and backward over every token of a
-text; the marginals give the document's score and the offending offsets.
+states clean and toxic, one for each whole text, is then trained on those tokens
+by gradient ascent on its conditional likelihood; a token's features are its own
+forms and the words beside it.  Scoring runs forward and backward over every
+token of a text; the marginals give the document's score and the offending
+offsets.
+
+The odds of the toxic state pass from token to token by linear fractional maps.
+Runs of RUN tokens are composed into one map each, all runs side by side; the
+runs of a text are then chained, so that a chain is exact however long it is.
 """
 
 from __future__ import annotations
@@ -24,10 +30,10 @@ from quern.llm.common import id_hash, small_batches, table
 
 #: The sample takes at most so many toxic and clean labels (of the smallest hashes), and so many characters of their documents.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 12_000_000
-#: A chain is a run of so many tokens at most.
-CHAIN = 64
-#: Chains used in training; hashed feature weights.
-TRAIN_CHAINS, WEIGHTS, EPOCHS, RATE, DECAY = 3000, 1 << 18, 12, 0.3, 1e-5
+#: Tokens of a run, whose maps are composed side by side with those of other runs; no bound of a chain.
+RUN = 64
+#: Hashed feature weights; documents of a training step.
+WEIGHTS, STEP_DOCS, EPOCHS, RATE, DECAY = 1 << 18, 256, 10, 0.3, 1e-5
 #: What labels a token: its form stands in so many toxic documents of the sample, in such a share of them,
 #: and at least at so many times the clean rate (log).
 SUPPORT, SHARE, LOG_ODDS = 3, 0.01, 3.0
@@ -50,136 +56,223 @@ def forms(word: str) -> list[str]:
     return ["=" + word, *(word[:n] for n in (4, 5, 6) if len(word) >= n)]
 
 
-def features(token: str) -> list[int]:
-    """Hashed features: forms, ending, shape."""
+def hashed(named: list[str]) -> list[int]:
+    return [crc32(x.encode("utf-8", "surrogatepass")) % WEIGHTS for x in named]
+
+
+def features(token: str) -> tuple[list[int], int, int]:
+    """Hashed features: the token's own (forms, ending, shape), and what it is to the token after it and the one before."""
     word = word_of(token)
     shape = ("d" if any(c.isdigit() for c in token) else "") + ("u" if token.isupper() else "") + ("p" if word != token.lower() else "")
-    named = [*forms(word), "$" + word[-3:], "/" + shape, "bias"]
-    return [crc32(x.encode("utf-8", "surrogatepass")) % WEIGHTS for x in named]
+    return hashed([*forms(word), "$" + word[-3:], "/" + shape, "bias"]), *hashed(["<" + word, ">" + word])
+
 
+def runs_of(lens: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts of so many tokens, laid end to end: for each run its first token, its tokens, and its place in its text."""
+    n = -(-lens // run)
+    doc = np.repeat(np.arange(len(lens)), n)
+    nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
+    starts = np.cumsum(lens) - lens
+    return starts[doc] + nth * run, np.minimum(run, lens[doc] - nth * run), nth
 
-def _step(x, stay_low, to_high, from_high, stay_high):
-    """Log odds after one transition, of log odds x before it."""
-    return np.logaddexp(to_high, x + stay_high) - np.logaddexp(stay_low, x + from_high)
+
+def chain_odds(e: np.ndarray, lens: np.ndarray, trans: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Odds of the toxic state at every token, from it and all tokens before it in its text.
+
+    e are the emissions (log odds) of texts of ``lens`` tokens laid end to end;
+    trans (2, 2) are transitions in logs.
+    """
+    w = np.exp(np.clip(e.astype(np.float64), -30, 30))
+    (t00, t01), (t10, t11) = np.exp(trans)
+    first, size, nth = runs_of(lens, run)
+    out = np.empty(len(w))
+    if not len(first):
+        return out
+    padded = np.concatenate((w, np.ones(run)))
+    order = np.argsort(-size, kind="stable")
+    first, size, nth = first[order], size[order], nth[order]
+    alive = np.searchsorted(-size, -np.arange(run), side="left")  # runs of more than t tokens
+    # each run as one map x -> (a x + b) / (c x + d) of the odds before it
+    at_start = nth == 0
+    a, b, c, d = np.ones(len(first)), np.zeros(len(first)), np.zeros(len(first)), np.ones(len(first))
+    for t in range(run if nth.max() else 0):
+        n = alive[t]
+        if not n:
+            break
+        v = padded[first[:n] + t]
+        a0, b0, c0, d0 = a[:n], b[:n], c[:n], d[:n]
+        a1, b1 = v * (t11 * a0 + t01 * c0), v * (t11 * b0 + t01 * d0)
+        c1, d1 = t10 * a0 + t00 * c0, t10 * b0 + t00 * d0
+        if t == 0:  # the first token of a text: its emission, whatever was before
+            a1, b1, c1, d1 = np.where(at_start, 0, a1), np.where(at_start, v, b1), np.where(at_start, 0, c1), np.where(at_start, 1, d1)
+        scale = 1 / (a1 + b1 + c1 + d1)
+        a[:n], b[:n], c[:n], d[:n] = a1 * scale, b1 * scale, c1 * scale, d1 * scale
+    # the odds before each run
+    before = np.empty(len(first))
+    place = np.empty(len(first), np.int64)
+    place[order] = np.arange(len(first))  # runs in the order of the texts -> their place here
+    inside = np.flatnonzero(nth[place] == 0)  # the first run of each text, in the order of the texts
+    odds = np.ones(len(inside))
+    for _ in range(int(nth.max()) + 1):
+        here = place[inside]
+        before[here] = odds
+        odds = (a[here] * odds + b[here]) / (c[here] * odds + d[here])
+        more = inside + 1 < len(first)
+        more[more] = nth[place[inside[more] + 1]] > 0
+        inside, odds = inside[more] + 1, odds[more]
+        if not len(inside):
+            break
+    x = before
+    for t in range(run):
+        n = alive[t]
+        if not n:
+            break
+        v, y = padded[first[:n] + t], x[:n]
+        y = v * (t01 + t11 * y) / (t00 + t10 * y)
+        if t == 0:
+            y = np.where(at_start, v, y)
+        out[first[:n] + t] = x[:n] = y
+    return out
 
 
-def chain_odds(e: np.ndarray, trans: np.ndarray, valid: np.ndarray | None = None):
-    """Forward log odds, backward log odds (T, N) of emissions e (T, N); trans (2, 2) in logs; invalid steps end a chain."""
-    a, b = np.empty_like(e), np.zeros_like(e)
-    a[0] = e[0]
-    (t00, t01), (t10, t11) = trans.astype(e.dtype)
-    for t in range(1, len(e)):
-        a[t] = e[t] + _step(a[t - 1], t00, t01, t10, t11)
-    for t in range(len(e) - 2, -1, -1):
-        b[t] = _step(e[t + 1] + b[t + 1], t00, t10, t01, t11)
-        if valid is not None:
-            b[t] = np.where(valid[t + 1], b[t], 0)
-    return a, b
+def marginals(e: np.ndarray, lens: np.ndarray, trans: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(forward odds, backward odds, marginal log odds) of every token; the first two count the token's emission both."""
+    ahead = chain_odds(e, lens, trans)
+    back = chain_odds(e[::-1], lens[::-1], trans.T)[::-1]
+    return ahead, back, np.log(ahead) + np.log(back) - np.clip(e, -30, 30)
 
 
 class ToxicCrf:
     def __init__(self):
         self.w = np.zeros(WEIGHTS, np.float32)
         self.trans = np.zeros((2, 2))
-        #: document score: logistic of bias + these times (largest log odds, log of 1 + toxic tokens)
-        self.doc = np.array([-4.0, 0.0, 0.0])
+        #: document score: logistic of these times ``summary``
+        self.doc = np.array([-4.0, 0.0, 0.0, 0.0])
 
-    def fit_tokens(self, chains: list[tuple[list[list[int]], np.ndarray]], seed: int = 3) -> None:
-        """AdaGrad on the conditional log likelihood; chains: (features of each token, labels)."""
+    def fit_tokens(self, texts: list[list[str]], labels: list[np.ndarray], seed: int = 3) -> _Weights:
+        """AdaGrad on the conditional log likelihood of whole texts (their tokens, and the label of each); the tokens' weights."""
         rng = np.random.default_rng(seed)
-        seen, seen_t = np.full(WEIGHTS, 1e-2), np.full((2, 2), 1e-2)
-        w = np.zeros(WEIGHTS)
-        flat = [
-            (np.repeat(np.arange(len(c[0])), [len(fs) for fs in c[0]]), np.array([f for fs in c[0] for f in fs]))
-            for c in chains
-        ]
+        seen, seen_t, w = np.full(WEIGHTS, 1e-2), np.full((2, 2), 1e-2), np.zeros(WEIGHTS)
+        index: dict[str, int] = {}
+        ids = [np.array([index.setdefault(t, len(index)) for t in x], np.int64) for x in texts]
+        found = [features(t) for t in index]
+        sizes = np.array([len(own) for own, _, _ in found])
+        flat, at = np.array([f for own, _, _ in found for f in own], np.int64), np.cumsum(sizes) - sizes
+        left, right = (np.array([f[i] for f in found], np.int64) for i in (1, 2))
+        # a token that says nothing is as likely toxic as any
+        y = np.concatenate(labels)
+        w[hashed(["bias"])] = np.log((y.sum() + 0.5) / (len(y) + 1))
         for _ in range(EPOCHS):
-            order = rng.permutation(len(chains))
-            for i in range(0, len(order), 256):
-                some = [chains[j] for j in order[i : i + 256]]
-                top = max(len(c[1]) for c in some)
-                ts = np.concatenate([flat[j][0] for j in order[i : i + 256]])
-                fs = np.concatenate([flat[j][1] for j in order[i : i + 256]])
-                ns = np.repeat(np.arange(len(some)), [len(flat[j][0]) for j in order[i : i + 256]])
-                e = np.bincount(ts * len(some) + ns, w[fs], top * len(some)).reshape(top, len(some))
-                valid, y = np.zeros(e.shape, bool), np.zeros(e.shape)
-                valid[ts, ns] = True
-                for n, c in enumerate(some):
-                    y[: len(c[1]), n] = c[1]
-                a, b = chain_odds(e, self.trans, valid)
-                p = 1 / (1 + np.exp(-np.clip(a + b, -30, 30)))
-                g = np.bincount(fs, (y - p)[ts, ns], WEIGHTS) / len(some) - DECAY * w
+            order = rng.permutation(len(ids))
+            for i in range(0, len(order), STEP_DOCS):
+                some = order[i : i + STEP_DOCS]
+                x, y = np.concatenate([ids[j] for j in some]), np.concatenate([labels[j] for j in some])
+                lens = np.array([len(ids[j]) for j in some])
+                kinds, back = np.unique(x, return_inverse=True)
+                ends = np.cumsum(sizes[kinds])
+                mine = flat[np.repeat(at[kinds] - ends + sizes[kinds], sizes[kinds]) + np.arange(ends[-1])]
+                weight = np.add.reduceat(w[mine], ends - sizes[kinds])
+                inner = np.ones(len(x), bool)
+                inner[np.cumsum(lens) - lens] = False  # tokens with one before them
+                has = np.flatnonzero(inner)
+                e = weight[back]
+                e[has] += w[left[x[has - 1]]]
+                e[has - 1] += w[right[x[has]]]
+                ahead, behind, odds = marginals(e, lens, self.trans)
+                miss = y - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+                per_kind = np.bincount(back, miss, len(kinds))
+                g = np.bincount(mine, np.repeat(per_kind, sizes[kinds]), WEIGHTS)
+                g += np.bincount(left[x[has - 1]], miss[has], WEIGHTS) + np.bincount(right[x[has]], miss[has - 1], WEIGHTS)
+                g = g / len(some) - DECAY * w
                 seen += g * g
                 w += RATE * g / np.sqrt(seen)
-                nxt = e[1:] + b[1:]
-                score = np.stack([[np.broadcast_to(self.trans[i, j], nxt.shape) + i * a[:-1] + j * nxt for j in (0, 1)] for i in (0, 1)])
-                score -= score.max((0, 1))
-                pair = np.exp(score)
+                # odds of the four transitions between a token and the next
+                a, b = ahead[has - 1], behind[has]
+                pair = np.exp(self.trans)[:, :, None] * np.stack([np.stack([np.ones(len(a)), b]), np.stack([a, a * b])])
                 pair /= pair.sum((0, 1))
-                both = valid[1:]
-                gt = np.array(
-                    [[((y[:-1] == i) & (y[1:] == j) & both).sum() - (pair[i, j] * both).sum() for j in (0, 1)] for i in (0, 1)]
-                ) / len(some) - 1e-3 * self.trans
+                y0, y1 = y[has - 1] > 0, y[has] > 0
+                gt = np.array([[((y0 == i) & (y1 == j)).sum() - pair[i, j].sum() for j in (0, 1)] for i in (0, 1)]) / len(some) - 1e-3 * self.trans
                 seen_t += gt * gt
                 self.trans += RATE * gt / np.sqrt(seen_t)
         self.w = w.astype(np.float32)
+        known = _Weights(self)
+        known.update(index)
+        known.rows = list(zip(*(x.tolist() for x in (np.add.reduceat(self.w[flat], at), self.w[left], self.w[right]))))
+        return known
 
-    def weight(self, token: str) -> float:
-        return float(self.w[features(token)].sum())
+    def weight(self, token: str) -> tuple[float, float, float]:
+        """What a token adds to the log odds of itself, of the token after it and of the one before it."""
+        own, left, right = features(token)
+        return float(self.w[own].sum()), float(self.w[left]), float(self.w[right])
 
-    def odds(self, texts: list[str], cache: dict) -> list[np.ndarray]:
+    def odds(self, texts: list[str], cache: _Weights) -> list[np.ndarray]:
         """Marginal log odds of every token of every text."""
         tokens = [t.split() for t in texts]
         lens = np.array([len(t) for t in tokens], np.int64)
-        e = np.fromiter(map(cache.__getitem__, (x for t in tokens for x in t)), np.float32, int(lens.sum()))
-        starts = np.concatenate(([0], np.cumsum(lens)))
-        out = np.zeros(len(e), np.float32)
-        n = -(-lens // CHAIN)
-        doc = np.repeat(np.arange(len(lens)), n)
-        nth = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
-        first = starts[doc] + nth * CHAIN
-        size = np.minimum(CHAIN, starts[doc + 1] - first)
-        padded = np.concatenate((e, np.zeros(CHAIN, np.float32)))
-        for i in range(0, len(first), 4096):
-            at = first[i : i + 4096][None, :] + np.arange(CHAIN)[:, None]
-            valid = np.arange(CHAIN)[:, None] < size[i : i + 4096][None, :]
-            a, b = chain_odds(padded[at], self.trans, valid)
-            out[at[valid]] = (a + b)[valid]
-        return np.split(out, starts[1:-1]) if len(texts) else []
+        total = int(lens.sum())
+        own, left, right = cache.table(np.fromiter(map(cache.__getitem__, (x for t in tokens for x in t)), np.int64, total))
+        e = own
+        inner = np.ones(total, bool)
+        inner[(np.cumsum(lens) - lens)[lens > 0]] = False
+        has = np.flatnonzero(inner)
+        e[has] += left[has - 1]
+        e[has - 1] += right[has]
+        found = marginals(e, lens[lens > 0], self.trans)[2] if total else e
+        return np.split(found, np.cumsum(lens)[:-1]) if len(texts) else []
 
     @staticmethod
-    def summary(odds: np.ndarray) -> tuple[float, float, float]:
+    def summary(odds: np.ndarray) -> tuple[float, ...]:
+        """Bias, largest log odds, log of 1 + expected toxic tokens, log of 1 + tokens."""
         if not len(odds):
-            return 1.0, -12.0, 0.0
-        return 1.0, float(np.clip(odds.max(), -12, 12)), float(np.log1p((odds > 0).sum()))
+            return 1.0, -12.0, 0.0, 0.0
+        p = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        return 1.0, float(np.clip(odds.max(), -12, 12)), float(np.log1p(p.sum())), float(np.log1p(len(odds)))
 
     def score(self, odds: np.ndarray) -> float:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.doc, self.summary(odds)), -30, 30))))
 
     def fit_documents(self, odds: list[np.ndarray], y: np.ndarray) -> None:
-        """Logistic regression by Newton's method, held by a ridge to the odds of the most toxic token."""
+        """Logistic regression by Newton's method (steps halved while they lose), held by a ridge to the largest odds and the count."""
         x = np.array([self.summary(o) for o in odds])
-        prior = np.array([-1.0, 1.0, 1.0])
+        prior = np.array([-1.0, 1.0, 1.0, 0.0])
+
+        def loss(w):
+            return (np.logaddexp(0, x @ w) - y * (x @ w)).sum() + RIDGE / 2 * ((w - prior) ** 2).sum()
+
         w = prior.copy()
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(3)
-            w += np.linalg.solve(h, x.T @ (y - p) - RIDGE * (w - prior))
+            h = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+            step, size = np.linalg.solve(h, x.T @ (y - p) - RIDGE * (w - prior)), 1.0
+            while size > 1e-6 and loss(w + size * step) > loss(w):
+                size /= 2
+            w = w + size * step
         self.doc = w
 
 
 class _Weights(dict):
-    """Token -> weight; computed when asked for; emptied when it has CACHE entries."""
+    """Token -> its row in a table of weights; made when asked for; once CACHE tokens are there, all go before the next texts."""
 
     def __init__(self, model: ToxicCrf):
         super().__init__()
         self.model = model
-
-    def __missing__(self, token: str) -> float:
-        if len(self) >= CACHE:
+        self.rows: list[tuple[float, float, float]] = []
+        self.ready = np.zeros((0, 3))
+
+    def __missing__(self, token: str) -> int:
+        self[token] = row = len(self.rows)
+        self.rows.append(self.model.weight(token))
+        return row
+
+    def table(self, rows: np.ndarray) -> np.ndarray:
+        """(3, tokens) weights of tokens by their rows."""
+        if len(self.ready) < len(self.rows):
+            self.ready = np.concatenate((self.ready, np.array(self.rows[len(self.ready) :])))
+        out = self.ready[rows].T.copy()
+        if len(self.rows) >= CACHE:
             self.clear()
-        self[token] = w = self.model.weight(token)
-        return w
+            self.rows, self.ready = [], np.zeros((0, 3))
+        return out
 
 
 def marker_forms(texts: list[str], y: list[int]) -> set[str]:
@@ -188,7 +281,7 @@ def marker_forms(texts: list[str], y: list[int]) -> set[str]:
     n = [0, 0]
     for t, label in zip(texts, y):
         n[label] += 1
-        count[label].update({f for w in {word_of(x) for x in t.split()} if w for f in forms(w)})
+        count[label].update({f for w in {word_of(x) for x in set(t.split())} if w for f in forms(w)})
     out = set()
     for f, c in count[1].items():
         if c >= max(SUPPORT, SHARE * n[1]):
@@ -236,23 +329,19 @@ def train_on(texts: list[str], y: list[int]) -> ToxicCrf | None:
     if not 0 < sum(y) < len(y):
         return None
     markers = marker_forms(texts, y)
-    model, rng = ToxicCrf(), np.random.default_rng(9)
-    chains: tuple[list, list] = ([], [])
+    model = ToxicCrf()
     marked: dict[str, bool] = {}
+    tokens, labels = [], []
     for t, label in zip(texts, y):
-        tokens = t.split()
+        own = t.split()
         if label:
-            for x in tokens:
+            for x in own:
                 if x not in marked:
                     marked[x] = not markers.isdisjoint(forms(word_of(x)))
-        for i in range(0, len(tokens), CHAIN):
-            part = tokens[i : i + CHAIN]
-            toxic = np.array([bool(label) and marked[x] for x in part], float)
-            chains[int(toxic.any())].append((part, toxic))
-    picked = [kind[i] for kind in chains for i in rng.permutation(len(kind))[: TRAIN_CHAINS // 2]]
-    picked = [([features(x) for x in part], toxic) for part, toxic in picked]
-    model.fit_tokens(picked)
-    model.fit_documents(model.odds(texts, _Weights(model)), np.array(y, float))
+        if own:
+            tokens.append(own)
+            labels.append(np.array([bool(label) and marked[x] for x in own], float))
+    model.fit_documents(model.odds(texts, model.fit_tokens(tokens, labels)), np.array(y, float))
     return model
 
 
@@ -298,6 +387,10 @@ def offsets(text: str, odds: np.ndarray) -> list[int]:
 
 
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents``, learning from labelled rows whose crc32(doc_id as text) mod 4 is not 2.
+
+    A row for each row; null and empty texts are scored like texts without tokens.
+    """
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, table(spark, sf_dir, "labels").select("doc_id", "toxic"))
     found = docs.select("doc_id", (id_hash("doc_id") % 4 == 2).alias("held_out"), tag(F.col("text"), model, spark).alias("t"))
@@ -310,10 +403,10 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents scored under the threshold, with their own columns only."""
+    """The documents scored under the threshold, with their own columns, whatever those are called.
+
+    Null and empty texts score low and stay; repeated rows are judged each; without
+    a model (no labels of either kind) every document stays.
+    """
     model = train(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))
-    return (
-        docs.withColumn("__toxic", tag(F.col("text"), model, docs.sparkSession))
-        .where(F.col("__toxic")["score"] < THRESHOLD)
-        .select(*docs.columns)
-    )
+    return docs.where(tag(F.col("text"), model, docs.sparkSession)["score"] < THRESHOLD)
