@@ -7,7 +7,10 @@ bits in some partition i.  The thresholds are allocated by dynamic programming
 over estimated costs.  Fingerprints probe the buckets that their partition's
 value and its variants of up to t_i flipped bits name; inside a bucket members
 are verified against all probes, and only edges that join two classes are
-emitted.  Components of those edges are found by alternating star contraction.
+emitted.  A bucket of many rows is split: its members are dealt into blocks, and
+every block sees all rows.  Components of the edges are found by alternating star
+contraction over nodes that are ordered by their smallest document, so that a
+component's root says which document that is.
 """
 
 from __future__ import annotations
@@ -24,13 +27,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quern.llm.common import cut, small_batches, table, text_bytes
+from quern.llm.common import cut, small_batches, table, text_bytes, unused, written
 
 BITS, TAU, SHINGLE, SEED = 64, 4, 4, 42
 #: Distinct fingerprints (those of the smallest hashes) on which costs and bit correlations are estimated.
 SAMPLE = 4096
 #: What a probe row costs, in verified candidates.
 PROBE_COST = 300.0
+#: A bucket of more rows is split; so many split buckets are broadcast, more are joined.
+BUCKET_ROWS, HOT_BUCKETS = 20_000, 100_000
+#: Bitmaps of 4 KB that ``keep_one`` broadcasts (64 MB), for 32,768 rows each; more rows are joined.
+BITMAPS = 16_384
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -184,12 +191,12 @@ def link_bucket(fp: np.ndarray, member: np.ndarray, tau: int = TAU) -> list[tupl
 
 
 def _verify(tau: int):
-    """Over rows sorted by (part, key): the edges of each bucket; a bucket may go on over batches."""
+    """Over rows (part, key, block, fp, member) sorted by the first three: the edges of each bucket, which may go on over batches."""
 
     def edges_of(part):
         if len(part) == 0:
             return []
-        key, fp, member = part[:, 0], part[:, 1], part[:, 2].astype(bool)
+        key, fp, member = part[:, 0], part[:, 1], part[:, 2].astype(bool)  # of one part and block
         cuts = np.flatnonzero(key[1:] != key[:-1]) + 1
         out = []
         for a, b in zip(np.concatenate(([0], cuts)), np.concatenate((cuts, [len(key)]))):
@@ -203,36 +210,31 @@ def _verify(tau: int):
         return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
     def run(batches):
-        kept, at = np.zeros((0, 3), np.uint64), None
         waiting: list[np.ndarray] = []
+        at = None
         for batch in batches:
-            part = batch.column(0).to_numpy(zero_copy_only=False)
-            rows = np.stack(
-                [
-                    batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64),
-                    batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64),
-                    batch.column(3).to_numpy(zero_copy_only=False).astype(np.uint64),
-                ],
-                axis=1,
-            )
-            if len(rows) == 0:
+            if not len(batch):
                 continue
-            # ends of (part, key) runs; the last run of a batch waits for the next batch
-            for p in np.unique(part):
-                own = rows[part == p]
-                if at is not None and (p, own[0, 0]) != at:
-                    kept = np.concatenate(waiting)
-                    if edges := edges_of(kept):
-                        yield batch_of(edges)
-                    waiting = []
-                last = np.flatnonzero(own[:, 0] != own[-1, 0])
-                split = last[-1] + 1 if len(last) else 0
-                if split:
-                    if edges := edges_of(np.concatenate([*waiting, own[:split]])):
-                        yield batch_of(edges)
-                    waiting = []
-                waiting.append(own[split:])
-                at = (p, own[-1, 0])
+            part, key, block, fp, member = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            rows = np.stack([key.view(np.uint64), fp.view(np.uint64), member.astype(np.uint64)], axis=1)
+            cuts = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1]) | (block[1:] != block[:-1])) + 1
+            # whole buckets of one part and block go together; the last bucket of a batch waits for the next batch
+            bounds = np.concatenate(([0], cuts, [len(rows)]))
+            name = (part[0], key[0], block[0])
+            if at is not None and name != at:
+                if edges := edges_of(np.concatenate(waiting)):
+                    yield batch_of(edges)
+                waiting = []
+            if len(cuts):
+                first = np.concatenate([*waiting, rows[: cuts[0]]])
+                edges, waiting = edges_of(first), []
+                for a, b in zip(bounds[1:-1], bounds[2:-1]):
+                    if b - a > 1:
+                        edges += edges_of(rows[a:b])
+                if edges:
+                    yield batch_of(edges)
+            waiting.append(rows[bounds[-2] :])
+            at = (part[-1], key[-1], block[-1])
         if waiting and (edges := edges_of(np.concatenate(waiting))):
             yield batch_of(edges)
 
@@ -240,7 +242,7 @@ def _verify(tau: int):
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the components of ``edges`` (a, b), by alternating large-star and small-star steps.
+    """(node, root) of the components of ``edges`` (a, b), by alternating large-star and small-star steps; a root is its smallest node.
 
     A step is one window over the directed edges of a node; the edges never grow,
     and each round is checkpointed.  Ends when a round changes nothing.
@@ -279,27 +281,36 @@ def near_links(fps: DataFrame, tau: int = TAU, fp: str = "fp") -> DataFrame:
     rows = distinct.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()
     parts = plan(np.array([r.fp for r in rows], np.int64).view(np.uint64), n, tau)
     probes = distinct.mapInArrow(_probe(parts), "part int, key long, fp long, member boolean")
+    hot = cut(probes.groupBy("part", "key").count().where(F.col("count") > BUCKET_ROWS))
+    n_hot = hot.count()
+    block = F.lit(0).alias("block")
+    if n_hot:
+        blocks = hot.select("part", "key", F.ceil(F.col("count") / BUCKET_ROWS).cast("int").alias("blocks"))
+        probes = probes.join(F.broadcast(blocks) if n_hot <= HOT_BUCKETS else blocks, ["part", "key"], "left")
+        probes = probes.withColumn("block", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
+        own = F.pmod(F.xxhash64("fp"), F.coalesce("blocks", F.lit(1))) == F.col("block")
+        probes, block = probes.withColumn("member", F.col("member") & own), F.col("block")
     return (
-        probes.repartition("part", "key")
-        .sortWithinPartitions("part", "key")
+        probes.select("part", "key", block, "fp", "member")
+        .repartition("part", "key", "block")
+        .sortWithinPartitions("part", "key", "block")
         .mapInArrow(_verify(tau), "a long, b long")
     )
 
 
-def _prints(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, fp) of every row."""
-    small_batches(docs.sparkSession)
-    return cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
-
+def _least(prints: DataFrame, tau: int, *more: str) -> DataFrame:
+    """(fp, least, root) of every distinct fingerprint of ``prints`` (doc_id, fp, more).
 
-def _roots(prints: DataFrame, tau: int = TAU) -> DataFrame:
-    """(fp, least, root) of every distinct fingerprint: its smallest doc_id, and the root that names its component."""
-    roots = components(near_links(prints, tau))
-    # fingerprints without a link are their own root
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    return least.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    least is the struct (none, id, fp, more) of its smallest document, null ids last; root that of its component.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), "fp", *more))
+    least = cut(prints.groupBy("fp").agg(first.alias("least")))
+    edges = near_links(least, tau)
+    for end in "ab":
+        edges = edges.join(least.select(F.col("fp").alias(end), F.col("least").alias(f"of_{end}")), end)
+    roots = components(edges.select(F.col("of_a").alias("a"), F.col("of_b").alias("b")))
+    roots = roots.select(F.col("node")["fp"].alias("fp"), "root")
+    return least.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "least").alias("root"))
 
 
 def near_duplicates(
@@ -310,31 +321,46 @@ def near_duplicates(
     component_id is the smallest doc_id that links of tau or fewer differing bits
     reach.  Null and empty texts have fingerprint zero, linked like any other; rows
     that repeat an id are kept; a null id never is a component's smallest unless
-    all its ids are null.  Only fingerprints are shuffled, never texts.
+    all its ids are null; no rows give no rows.  Texts are read whole, however long;
+    only fingerprints are shuffled, never texts.
     """
-    prints = _prints(docs, doc_id, text)
-    named = _roots(prints, tau)
-    tops = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_fp = named.join(tops, "root").select("fp", "component_id")
+    small_batches(docs.sparkSession)
+    prints = cut(docs.select(F.col(doc_id).alias("doc_id"), _fingerprints(F.col(text)).alias("fp")))
+    of_fp = _least(prints, tau).select("fp", F.col("root")["id"].alias("component_id"))
     return prints.join(of_fp, "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every whole text of ``documents``; a row for each row."""
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each group: that with the smallest id.  Columns stay as they are.
+    """One document of each group: that with the smallest id.  Columns stay as they are, whatever they are called.
 
     A group is a component of fingerprints, whatever its ids: groups that share an
     id, or have null ids only, keep a document each.  Of rows that repeat that id
-    in the group, those of the smallest fingerprint stand for it, and of those
-    with the same fingerprint one stays.
+    in the group, one of the smallest fingerprint stays.
+
+    The rows are written once with their fingerprint and a row key.  What to keep is
+    decided on narrow rows and comes back as bitmaps of row keys, which are broadcast
+    while there are at most BITMAPS of them and joined by the row key beyond, so
+    that no key is hot.
     """
-    named = _roots(_prints(docs, doc_id, text))
-    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("first")
-    kept = named.groupBy("root").agg(first).select(F.col("first.least").alias("__id"), F.col("first.fp").alias("__kept"))
-    marked = docs.withColumn("__fp", _fingerprints(F.col(text)))
-    same = F.col(doc_id).eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__kept"))
-    return marked.join(kept, same, "left_semi").dropDuplicates([doc_id, "__fp"]).select(*docs.columns)
+    small_batches(docs.sparkSession)
+    fp, key = unused(docs, "fp"), unused(docs, "row_key")
+    held = written(docs.select("*", _fingerprints(F.col(text)).alias(fp), F.monotonically_increasing_id().alias(key)))
+    named = _least(held.select(F.col(doc_id).alias("doc_id"), F.col(fp).alias("fp"), F.col(key).alias("key")), TAU, "key")
+    kept = cut(named.where(F.col("root")["fp"] == F.col("fp")).select((F.col("least")["key"] + 1).alias("n")))
+    bits = kept.groupBy(F.bitmap_bucket_number("n").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("n")).alias("bits"))
+    bits = cut(bits)
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if bits.count() > BITMAPS:
+        return held.join(kept, F.col(key) + 1 == F.col("n"), "left_semi").select(*own)
+    bucket, word = unused(docs, "bucket"), unused(docs, "bits")
+    bits = F.broadcast(bits.select(F.col("bucket").alias(bucket), F.col("bits").alias(word)))
+    place = F.bitmap_bit_position(F.col(key) + 1)
+    byte = F.conv(F.hex(F.substring(F.col(word), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), place % 8)) % 2 == 1
+    return held.join(bits, F.bitmap_bucket_number(F.col(key) + 1) == F.col(bucket)).where(bit).select(*own)
