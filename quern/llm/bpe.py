@@ -220,4 +220,5 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 def op4_bpe(spark, sf_dir: str) -> DataFrame:
+    """Every whole text of ``documents`` encoded and decoded; a row for each row, no tokens for null and empty texts."""
     return digests(table(spark, sf_dir, "documents"))

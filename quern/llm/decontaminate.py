@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, small_batches, table, text_bytes
+from quern.llm.common import cut, small_batches, table, text_bytes, unused
 
 WINDOW = 13
 #: A broadcast block of the benchmark has at most so many words (and so many windows); more items go to further blocks.
@@ -194,6 +194,7 @@ def is_contaminated(column: str = "contamination"):
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
+    """Whole ``documents`` against the whole ``benchmark``; a row for each row, without words where the text is null."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = mark_contamination(docs, table(spark, sf_dir, "benchmark"))
     c = F.col("contamination")
@@ -208,6 +209,6 @@ def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that are not contaminated, with their own columns only."""
-    marked = mark_contamination(docs, benchmark, out="__contamination")
-    return marked.where(~is_contaminated("__contamination")).select(*docs.columns)
+    """The documents that are not contaminated, with their own columns, whatever those are called."""
+    out = unused(docs, "contamination")
+    return mark_contamination(docs, benchmark, out=out).where(~is_contaminated(out)).select(*(f"`{c}`" for c in docs.columns))

@@ -2,6 +2,9 @@ import pytest
 from pyspark.sql import functions as F
 
 
+ODD = ("__lang", "__toxic", "__fp", "__id", "__contamination", "row_key", "bits", "bucket", "least", "none", "id", "k", "y", "a b", "dotted.name")
+
+
 @pytest.fixture(scope="session")
 def odd(spark):
     """Documents with nulls, empty and long texts, ties, repeated rows, and extra columns with clashing names."""
@@ -13,6 +16,6 @@ def odd(spark):
         (7, "12345 !!! ???", "de"), (None, "no id here", "fr"), (8, "a", "fr"), (9, "ÀÉÎ ßü   x\x00y", None),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    return df.withColumns({c: F.lit("kept") for c in ("score", "fp", "block", "part", "component_id", "contamination", "t", "p", "n")}).withColumn(
+    return df.withColumns({c: F.lit("kept") for c in ("score", "fp", "block", "part", "component_id", "contamination", "t", "p", "n", *ODD)}).withColumn(
         "source", F.lit("s")
     )

@@ -128,15 +128,37 @@ def test_packing():
 
 def test_chain_against_enumeration():
     rng = np.random.default_rng(1)
-    e, trans = rng.normal(size=(6, 2)), rng.normal(size=(2, 2))
-    a, b = toxicity.chain_odds(e, trans)
-    for n in range(2):
-        weight = np.zeros((6, 2))
-        for y in itertools.product((0, 1), repeat=6):
-            w = math.exp(sum(e[t, n] * y[t] for t in range(6)) + sum(trans[y[t], y[t + 1]] for t in range(5)))
-            for t in range(6):
+    lens = np.array([6, 1, 5])
+    e, trans = rng.normal(size=12), rng.normal(size=(2, 2))
+    got = toxicity.marginals(e, lens, trans)[2]
+    for start, n in zip(np.cumsum(lens) - lens, lens):
+        weight = np.zeros((n, 2))
+        for y in itertools.product((0, 1), repeat=int(n)):
+            w = math.exp(sum(e[start + t] * y[t] for t in range(n)) + sum(trans[y[t], y[t + 1]] for t in range(n - 1)))
+            for t in range(n):
                 weight[t, y[t]] += w
-        assert np.allclose((a + b)[:, n], np.log(weight[:, 1] / weight[:, 0]))
+        assert np.allclose(got[start : start + n], np.log(weight[:, 1] / weight[:, 0]))
+
+
+def test_chain_is_whole_whatever_its_runs():
+    rng = np.random.default_rng(2)
+    lens = np.array([1000, 64, 65, 1, 3, 128, 700])
+    e, trans = rng.normal(size=lens.sum()) * 3, np.array([[1.0, -2], [-3, 2.5]])
+    whole = toxicity.chain_odds(e, lens, trans, 1000)
+    assert np.allclose(whole, toxicity.chain_odds(e, lens, trans, 64)) and np.allclose(whole, toxicity.chain_odds(e, lens, trans, 7))
+    x = None
+    for t in range(1000):  # the first text, step by step
+        w = math.exp(e[t])
+        x = w if x is None else w * (math.exp(trans[0, 1]) + math.exp(trans[1, 1]) * x) / (math.exp(trans[0, 0]) + math.exp(trans[1, 0]) * x)
+        assert whole[t] == pytest.approx(x)
+
+
+def test_chain_gradient():
+    """The step of the weights is up the likelihood: training on one text makes its labels likelier than chance."""
+    model = toxicity.ToxicCrf()
+    model.fit_tokens([["a", "bad", "word", "here"], ["a", "word"]], [np.array([0.0, 1, 1, 0]), np.array([0.0, 0])])
+    odds = model.odds(["a bad word here", "a word", "", "word"], toxicity._Weights(model))
+    assert (odds[0] > 0).tolist() == [False, True, True, False] and (odds[1] < 0).all() and len(odds[2]) == 0
 
 
 def toxic_table(spark, n=240):
@@ -172,6 +194,8 @@ def test_toxicity_odd_rows(spark, odd):
     assert toxicity.train(docs, strange) is not None
     assert toxicity.train(docs, labels.limit(0)) is None and toxicity.train(docs.limit(0), labels) is None
     assert toxicity.keep_clean(odd, labels.limit(0)).count() == odd.count()
+    kept = toxicity.keep_clean(odd, labels.unionAll(spark.createDataFrame([(6, 1), (1, 0)], "doc_id long, toxic int")))
+    assert kept.schema == odd.schema and kept.where("`dotted.name` <> 'kept' or `__toxic` <> 'kept'").count() == 0
 
 
 # -- recurrent network --------------------------------------------------------------
@@ -194,21 +218,49 @@ def test_gradient():
         assert g[k][at] == pytest.approx((up - down) / (2 * eps), rel=1e-3)
 
 
+def plain_sum(m, t):
+    """The sum of the distributions at all positions of a text, read whole by the form that training uses."""
+    total = np.zeros(len(m.langs))
+    x = np.frombuffer(t, np.uint8).astype(int)[:, None]
+    f, b = m._run("f", x), m._run("b", x[::-1])
+    for s in range(len(x)):
+        o = m.p["V"] @ np.concatenate([f[s][5], b[len(x) - 1 - s][5]]) + m.p["c"]
+        e = np.exp(o - o.max())
+        total += (e / e.sum())[:, 0]
+    return total
+
+
 def test_batched_inference_equals_training_form():
     m = langid.BiGru(["a", "b", "c"], hidden=4)
-    text = bytes(range(97, 123)) * 20
-    got = m.documents([text, b"", b"xyz"], m.ready())
+    texts = [bytes(range(97, 123)) * 20, b"", b"xyz", b"ab" * 128, bytes(range(97, 123)) * 10, b"q" * 257, bytes(range(97, 123)) * 40]
+    got = m.documents(texts, m.ready())
     assert got[1].tolist() == [0, 0, 0]
-    for row, t in ((0, text), (2, b"xyz")):
-        total = np.zeros(3)
-        for i in range(0, len(t), langid.SEGMENT):
-            x = np.frombuffer(t[i : i + langid.SEGMENT], np.uint8).astype(int)[:, None]
-            f, b = m._run("f", x), m._run("b", x[::-1])
-            for s in range(len(x)):
-                o = m.p["V"] @ np.concatenate([f[s][5], b[len(x) - 1 - s][5]]) + m.p["c"]
-                e = np.exp(o - o.max())
-                total += (e / e.sum())[:, 0]
-        assert np.allclose(got[row], total / len(t), atol=1e-4)
+    for row, t in enumerate(texts):
+        if t:
+            assert np.allclose(got[row], plain_sum(m, t) / len(t), atol=1e-4 if len(t) <= langid.SEGMENT else 5e-3)
+
+
+def test_pieces_cover_whole_texts():
+    for n in (1, 5, 63, 64, 65, 128, 1000):
+        pieces = langid.pieces_of(bytes(i % 251 for i in range(n)))
+        assert pieces.shape[1] == langid.SPAN and len(pieces) == max(1, -(-n // langid.SPAN))
+        assert set(range(min(n, 251))) <= set(pieces.ravel().tolist())
+
+
+def test_chosen_rows_share_the_room(monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 100)
+    rows = [("a", 3, 30), ("a", 1, 30), ("a", 2, 10), ("b", 9, 500), ("b", 8, 400)]
+    assert langid.chosen(rows, ["a", "b"]) == [("a", 1), ("a", 2), ("b", 8)]
+
+
+def test_one_id_for_many_rows_and_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 3)
+    for same in (1, 2, 6):  # rows of one id, alike and not; every language is learnt
+        rows = [(same, "the same old text", "en")] * 5000 + [(same, f"ein anderer text {i}", "de") for i in range(1500)] + [(None, "le texte", "fr")] * 2000
+        model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+        assert model.langs == ["de", "en", "fr"]
+    rows = [(i, f"text of {i}", f"l{i:03}") for i in range(300)]
+    assert len(langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).langs) == 300
 
 
 def test_language_held_out_and_odd_rows(spark, odd, monkeypatch):
@@ -222,7 +274,7 @@ def test_language_held_out_and_odd_rows(spark, odd, monkeypatch):
     assert np.mean([r.lang == r.p.lang for r in got]) >= 0.95
     strange = odd.select("doc_id", langid.predict(F.col("text"), model, spark).alias("p")).collect()
     assert len(strange) == odd.count() and {r.doc_id for r in strange if r.p.lang == "und"} == {2, 3, 4, 7}
-    assert langid.train(df.withColumn("__key", F.col("doc_id")).limit(0)) is None
+    assert langid.train(df.limit(0)) is None
     assert odd.select(langid.predict(F.col("text"), None, spark).alias("p")).where("p.lang <> 'und'").count() == 0
     kept = langid.keep_known(df.unionByName(odd.select("doc_id", "text", "lang")))
     assert kept.where("doc_id is null or text = 'a'").count() >= 1 and kept.columns == df.columns

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import xxhash
 
+from quern.llm import simhash
 from quern.llm.simhash import allocate, components, fingerprint, group_bits, keep_one, link_bucket, near_duplicates, near_links, plan
 
 
@@ -64,6 +65,22 @@ def test_links_against_brute_force(spark):
     assert len(edges) == len(expected) - len(set(expected.values()))
 
 
+def test_split_buckets_and_joined_keys(spark, monkeypatch):
+    rnd = random.Random(4)
+    base = rnd.getrandbits(64)
+    fps = {base ^ sum(1 << b for b in rnd.sample(range(64), 2)) for _ in range(150)} | {rnd.getrandbits(64) for _ in range(50)}
+    df = spark.createDataFrame([(signed(f),) for f in sorted(fps)], "fp long")
+    want = sorted((r.node, r.root) for r in components(near_links(df)).collect())
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 7)
+    assert sorted((r.node, r.root) for r in components(near_links(df)).collect()) == want
+    monkeypatch.setattr(simhash, "HOT_BUCKETS", 0)
+    assert sorted((r.node, r.root) for r in components(near_links(df)).collect()) == want
+    docs = spark.createDataFrame([(i, f"w{i % 40} x{i % 40} y z v u") for i in range(300)], "doc_id long, text string")
+    once = sorted(r.doc_id for r in keep_one(docs).collect())
+    monkeypatch.setattr(simhash, "BITMAPS", 0)
+    assert once == sorted(r.doc_id for r in keep_one(docs).collect()) and once == sorted({r.component_id for r in near_duplicates(docs).collect()})
+
+
 def test_components_of_a_path_and_a_star(spark):
     path = [(i, i + 1) for i in range(100, 140)]
     star = [(7, i) for i in range(1000, 1100)]
