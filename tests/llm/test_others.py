@@ -75,6 +75,39 @@ def test_search_against_brute_force(spark):
     assert {r.query_id for r in got} == set(range(0, 700, 100)) and np.mean(hits) >= 0.9
 
 
+def test_search_keeps_doubles(spark):
+    rows = [(0, [1.0, 2.0]), (1, [1.000000001, 2.0]), (2, [1e300, 1.0]), (3, [-1e300, 1.0]), (4, [1.0, 2.5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r.query_id, r.vec_id): r.score for r in ivfpq.search(df, df).collect()}
+    assert len(got) == 20
+    assert got[0, 1] == abs(1.0 - 1.000000001) and got[2, 3] == 2e300 and got[0, 4] == 0.5
+    assert got[0, 2] == pytest.approx(1e300)
+
+
+def test_search_in_blocks_of_queries_and_on_clusters(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(20, 6)) * 100
+    x = (centres[rng.integers(0, 20, 2000)] + rng.normal(size=(2000, 6))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    want = {}
+    for q in range(0, 2000, 50):
+        d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+        want[q] = [int(i) for i in np.lexsort((np.arange(2000), d)) if i != q][:10]
+    monkeypatch.setattr(ivfpq, "QUERY_NUMBERS", 60)
+    got = {}
+    for r in sorted(ivfpq.search(df, df.where("vec_id % 50 = 0")).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == want
+    # cells that come near enough are few where vectors are clustered
+    ivf = ivfpq.Ivf(x.astype(float), 44)
+    at, far = ivfpq.nearest(x.astype(float), ivf.centroids)
+    sizes, radius = np.bincount(at, minlength=44), np.array([far[at == c].max(initial=0) for c in range(44)])
+    q = x[::50].astype(float)
+    limit = np.array([np.sort(np.sqrt(((x - x[i]) ** 2).sum(1)))[10] for i in range(0, 2000, 50)])
+    probed = (np.sqrt(ivfpq.squares(q, ivf.centroids)) - radius <= limit[:, None]) @ sizes
+    assert probed.mean() < 0.25 * 2000
+
+
 def test_search_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 2.0]), (100, [1.0, 2.5]), (3, [0.0, 1.0])], "vec_id long, embedding array<float>")
     assert frame_rows(ivfpq.search(df, df.where("vec_id = 0")), "rank", "vec_id") == ["(1, 100)", "(2, 3)"]
