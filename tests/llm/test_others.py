@@ -171,6 +171,8 @@ def test_chat_empty(spark):
 
 
 def brute_licence(texts):
+    import re
+
     vocab = {t for _, b in licenses.TEMPLATES for t in licenses.words(b)}
     lines = [w for t in texts for line in (t or "").split("\n") if (w := [x for x in licenses.words(line)])]
     df = Counter(t for w in lines for t in set(w) if t in vocab)
@@ -178,8 +180,8 @@ def brute_licence(texts):
     out = []
     for text in texts:
         best = None
-        for line in (text or "").split("\n"):
-            w = Counter(licenses.words(line))
+        for unit in [*(text or "").split("\n"), *re.split(licenses.BLANK, text or ""), text or ""]:
+            w = Counter(licenses.words(unit))
             if not w:
                 continue
             norm = math.sqrt(sum((n * idf(t)) ** 2 for t, n in w.items()))
@@ -192,11 +194,23 @@ def brute_licence(texts):
     return out
 
 
+MIT = next(b for n, b in licenses.TEMPLATES if n == "MIT" and "hereby" in b)
+
+
+def wrapped(text, width=70):
+    import textwrap
+
+    return "\n".join(textwrap.wrap(text, width))
+
+
 def test_licences_against_brute_force_and_inheritance(spark):
     files = [
         ("LICENSE", "Released under the MIT License."), ("a/x.py", "code here\nand there"), ("a/LICENSE", "Licensed under the Apache License, Version 2.0.\n"),
         ("a/b/c/y.py", "text of a program\n# licensed under the gnu general public license version 3\nmore\nlines\nof it"), ("a/b/c/z.py", "no word of it"),
         ("d/e.py", None), ("d/f.py", ""), (None, "the public domain"), ("a/b/c/z.py", "no word of it"), ("a/big.txt", "word " * 50_000), ("g/a", "the license of the work"),
+        ("h/LICENSE.md", "MIT License\n\nCopyright (c) 2021 Some Body\n\n" + wrapped(MIT[12:])), ("h/i/j.c", "int main"),
+        ("k/COPYING", "GNU GENERAL PUBLIC LICENSE\n Version 3, 29 June 2007\n\nPreamble and so on\nwith\nmany\nmore\nlines"), ("k/l.c", "int l"),
+        ("m/n.c", "/* " + wrapped(licenses._gnu("GNU Lesser General Public License", "2.1")).replace("\n", "\n * ") + " */\n\nint n;\n" + "int o;\n" * 300),
     ]
     df = spark.createDataFrame([(i, *f) for i, f in enumerate(files)], "i int, path string, text string").withColumns({c: F.lit(0) for c in ("dir", "own", "m", "lines")})
     got = sorted(licenses.scan_licenses(df, keep=("i",)).collect(), key=lambda r: r.i)
@@ -205,9 +219,17 @@ def test_licences_against_brute_force_and_inheritance(spark):
     at = {r.i: (r.license, r.origin, r.from_dir) for r in got}
     assert at[1] == ("Apache-2.0", "inherited", "a") and at[4] == at[8] == ("Apache-2.0", "inherited", "a")
     assert at[3] == ("GPL", "own", None) and at[5] == at[6] == at[7] == ("MIT", "inherited", "")
+    assert at[11] == ("MIT", "own", None) and at[12] == ("MIT", "inherited", "h")
+    assert at[13] == ("GPL", "own", None) and at[14] == ("GPL", "inherited", "k") and at[15] == ("LGPL", "own", None)
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_long_lines_cost_in_proportion(spark):
+    line = "licensed mit license " + " ".join(f"w{i}" for i in range(60_000))
+    df = spark.createDataFrame([("a", line), ("b", MIT + " " + line)], "path string, text string")
+    assert [r.own_license for r in licenses.scan_licenses(df).collect()] == [None, None]
+
+
 # -- tokens ---------------------------------------------------------------------------
 
 
