@@ -17,6 +17,7 @@ runs of a text are then chained, so that a chain is exact however long it is.
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from zlib import crc32
@@ -149,16 +150,19 @@ class ToxicCrf:
         #: document score: logistic of these times ``summary``
         self.doc = np.array([-4.0, 0.0, 0.0, 0.0])
 
-    def fit_tokens(self, texts: list[list[str]], labels: list[np.ndarray], seed: int = 3) -> _Weights:
-        """AdaGrad on the conditional log likelihood of whole texts (their tokens, and the label of each); the tokens' weights."""
+    def fit_tokens(self, index: dict[str, int], ids: list[np.ndarray], labels: list[np.ndarray], seed: int = 3) -> _Weights:
+        """AdaGrad on the conditional log likelihood of whole texts (numbers of their tokens, and the label of each); the tokens' weights."""
         rng = np.random.default_rng(seed)
         seen, seen_t, w = np.full(WEIGHTS, 1e-2), np.full((2, 2), 1e-2), np.zeros(WEIGHTS)
-        index: dict[str, int] = {}
-        ids = [np.array([index.setdefault(t, len(index)) for t in x], np.int64) for x in texts]
-        found = [features(t) for t in index]
-        sizes = np.array([len(own) for own, _, _ in found])
-        flat, at = np.array([f for own, _, _ in found for f in own], np.int64), np.cumsum(sizes) - sizes
-        left, right = (np.array([f[i] for f in found], np.int64) for i in (1, 2))
+        flat, sizes, left, right = (array("i") for _ in range(4))
+        for t in index:
+            own, a, b = features(t)
+            flat.extend(own)
+            sizes.append(len(own))
+            left.append(a)
+            right.append(b)
+        flat, sizes, left, right = (np.array(x, np.int32) for x in (flat, sizes, left, right))
+        at = np.cumsum(sizes) - sizes
         # a token that says nothing is as likely toxic as any
         y = np.concatenate(labels)
         w[hashed(["bias"])] = np.log((y.sum() + 0.5) / (len(y) + 1))
@@ -330,18 +334,12 @@ def train_on(texts: list[str], y: list[int]) -> ToxicCrf | None:
         return None
     markers = marker_forms(texts, y)
     model = ToxicCrf()
-    marked: dict[str, bool] = {}
-    tokens, labels = [], []
-    for t, label in zip(texts, y):
-        own = t.split()
-        if label:
-            for x in own:
-                if x not in marked:
-                    marked[x] = not markers.isdisjoint(forms(word_of(x)))
-        if own:
-            tokens.append(own)
-            labels.append(np.array([bool(label) and marked[x] for x in own], float))
-    model.fit_documents(model.odds(texts, model.fit_tokens(tokens, labels)), np.array(y, float))
+    index: dict[str, int] = {}
+    ids = [np.array([index.setdefault(x, len(index)) for x in t.split()], np.int32) for t in texts]
+    marked = np.array([not markers.isdisjoint(forms(word_of(x))) for x in index] or [False])
+    told = [(own, (marked[own] & bool(label)).astype(np.float32)) for own, label in zip(ids, y) if len(own)]
+    known = model.fit_tokens(index, *map(list, zip(*told))) if told else _Weights(model)
+    model.fit_documents(model.odds(texts, known), np.array(y, float))
     return model
 
 

@@ -156,7 +156,8 @@ def test_chain_is_whole_whatever_its_runs():
 def test_chain_gradient():
     """The step of the weights is up the likelihood: training on one text makes its labels likelier than chance."""
     model = toxicity.ToxicCrf()
-    model.fit_tokens([["a", "bad", "word", "here"], ["a", "word"]], [np.array([0.0, 1, 1, 0]), np.array([0.0, 0])])
+    index = {"a": 0, "bad": 1, "word": 2, "here": 3}
+    model.fit_tokens(index, [np.arange(4), np.array([0, 2])], [np.array([0.0, 1, 1, 0]), np.array([0.0, 0])])
     odds = model.odds(["a bad word here", "a word", "", "word"], toxicity._Weights(model))
     assert (odds[0] > 0).tolist() == [False, True, True, False] and (odds[1] < 0).all() and len(odds[2]) == 0
 
