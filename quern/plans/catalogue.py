@@ -42,7 +42,7 @@ BOTH: dict[str, str] = {
     "index_duplicates": "SELECT o_orderkey, o_custkey FROM orders WHERE o_custkey = 42",
     # sorting and limits: ascending nulls last, descending nulls first
     "order_asc_nulls_last": """SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events) t
-        ORDER BY v ASC NULLS LAST, event_id LIMIT 9000""",
+        ORDER BY v ASC NULLS LAST, event_id""",
     "order_desc_nulls_first": """SELECT event_id, v FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN NULL ELSE value END AS v FROM events) t
         ORDER BY v DESC NULLS FIRST, event_id LIMIT 100""",
     "order_limit": "SELECT c_custkey, c_name FROM customer ORDER BY c_custkey LIMIT 10",
@@ -143,6 +143,23 @@ BOTH: dict[str, str] = {
     "fn_cast": """SELECT o_orderkey, CAST(o_orderkey AS VARCHAR(20)) AS s, CAST(o_totalprice AS BIGINT) - CAST(o_totalprice AS BIGINT) AS zero,
         CAST('12' AS INTEGER) + 1 AS i FROM orders""",
     "fn_hash": "SELECT n_nationkey, md5(n_name) AS m FROM nation",
+    "fn_trig": """SELECT c_custkey, round(cos(c_acctbal), 6) AS c, round(tan(c_custkey * 0.001), 6) AS t, round(cot((c_custkey + 1) * 0.01), 4) AS ct,
+        round(acos(1.0 / (c_custkey + 1)), 6) AS ac, round(asin(1.0 / (c_custkey + 1)), 6) AS asn, round(atan(c_custkey), 6) AS atn,
+        round(radians(c_custkey), 6) AS rd, round(sinh(1.0 / (c_custkey + 1)), 6) AS sh, round(cosh(1.0 / (c_custkey + 1)), 6) AS ch,
+        round(tanh(1.0 / (c_custkey + 1)), 6) AS th, round(asinh(c_custkey), 6) AS ash, round(acosh(c_custkey + 1), 6) AS ach,
+        round(atanh(1.0 / (c_custkey + 2)), 6) AS ath, round(log2(c_custkey + 1), 6) AS l2 FROM customer""",
+    "fn_conditional": """SELECT event_id, ifnull(v, -1) AS i, coalesce(v, -2) AS c, nullif(event_type, 'click') AS n, if(v IS NULL, 'none', 'some') AS f
+        FROM (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events) t""",
+    "fn_string_more": """SELECT n_nationkey, ltrim(concat('  ', n_name, ' ')) AS l, rtrim(concat(' ', n_name, '  ')) AS r, char_length(n_name) AS cl,
+        character_length(n_name) AS chl, concat(n_name, '-', CAST(n_regionkey AS VARCHAR(9))) AS cc FROM nation""",
+    "agg_stats_more": """SELECT l_returnflag, round(var_pop(l_quantity), 4) AS vp, round(var_samp(l_quantity), 4) AS vs, round(covar_pop(l_quantity, l_discount), 6) AS cp,
+        round(covar_samp(l_quantity, l_discount), 6) AS cs, round(regr_avgx(l_quantity, l_discount), 6) AS ax, round(regr_avgy(l_quantity, l_discount), 6) AS ay,
+        round(regr_sxx(l_quantity, l_discount), 4) AS sxx, round(regr_sxy(l_quantity, l_discount), 4) AS sxy, round(regr_syy(l_quantity, l_discount), 3) AS syy
+        FROM lineitem GROUP BY l_returnflag""",
+    "join_non_equi": """SELECT a.n_name AS a, b.r_name AS b FROM nation a JOIN region b ON a.n_regionkey < b.r_regionkey AND a.n_name > b.r_name""",
+    "join_duplicate_names": """SELECT a.k AS a_k, a.v AS a_v, b.k AS b_k, b.v AS b_v FROM (SELECT n_nationkey AS k, n_name AS v FROM nation) a
+        JOIN (SELECT r_regionkey AS k, r_name AS v FROM region) b ON a.k = b.k""",
+    "cast_try": """SELECT n_nationkey, try_cast(n_name AS INTEGER) AS none, try_cast(CAST(n_nationkey AS VARCHAR(9)) AS INTEGER) AS same FROM nation""",
 }
 
 #: name -> (Spark SQL, DuckDB SQL)
@@ -162,8 +179,10 @@ OWN: dict[str, tuple[str, str]] = {
         "SELECT l_returnflag, round(quantile_cont(l_quantity, 0.25), 6) AS q25 FROM lineitem GROUP BY l_returnflag",
     ),
     "win_groups_frame": (
-        """WITH g AS (SELECT c_custkey, c_nationkey, dense_rank() OVER (ORDER BY c_nationkey) AS d FROM customer)
-        SELECT c_custkey, count(*) OVER (ORDER BY d RANGE BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM g""",
+        # the frame runs over the distinct keys alone, with their counts
+        """WITH g AS (SELECT c_nationkey, count(*) AS c FROM customer GROUP BY c_nationkey),
+        f AS (SELECT c_nationkey, sum(c) OVER (ORDER BY c_nationkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM g)
+        SELECT c_custkey, n FROM customer JOIN f ON customer.c_nationkey <=> f.c_nationkey""",
         "SELECT c_custkey, count(*) OVER (ORDER BY c_nationkey GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n FROM customer",
     ),
     "win_ignore_nulls": (
@@ -209,8 +228,8 @@ OWN: dict[str, tuple[str, str]] = {
         3 AS un, 1 AS ai, 1 AS ae, 3 AS fl, 5 AS sq FROM embeddings""",
     ),
     "fn_unnest": (
-        "SELECT vec_id, i, round(CAST(x AS DOUBLE), 6) AS x FROM embeddings LATERAL VIEW posexplode(slice(embedding, 1, 4)) t AS i, x",
-        """SELECT vec_id, i, round(CAST(embedding[i + 1] AS DOUBLE), 6) AS x FROM embeddings, range(4) AS r(i)""",
+        "SELECT vec_id, i, round(CAST(x AS DOUBLE), 6) AS x FROM embeddings LATERAL VIEW posexplode(embedding) t AS i, x",
+        "SELECT vec_id, i - 1 AS i, round(CAST(embedding[i] AS DOUBLE), 6) AS x FROM (SELECT vec_id, embedding, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
     ),
     "fn_json": (
         """SELECT event_id, get_json_object(to_json(named_struct('k', event_type, 'n', event_id)), '$.k') AS k FROM events""",
@@ -225,6 +244,77 @@ OWN: dict[str, tuple[str, str]] = {
         "SELECT n_nationkey, sha2(n_name, 256) AS s, base64(CAST(n_name AS BINARY)) AS b, hex(n_name) AS h FROM nation",
         "SELECT n_nationkey, sha256(n_name) AS s, base64(CAST(n_name AS BLOB)) AS b, hex(n_name) AS h FROM nation",
     ),
+    "join_as_of": (
+        # the last event of the same user at or before each purchase, by one window over both sides
+        """WITH e AS (SELECT user_id, ts, event_id, 0 AS asks FROM events WHERE event_type <> 'purchase'
+        UNION ALL SELECT user_id, ts, event_id, 1 FROM events WHERE event_type = 'purchase'),
+        w AS (SELECT event_id, asks, last_value(CASE WHEN asks = 0 THEN ts END) IGNORE NULLS OVER (PARTITION BY user_id ORDER BY ts, asks
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS found FROM e)
+        SELECT event_id, date_format(found, 'yyyy-MM-dd HH:mm:ss') AS found FROM w WHERE asks = 1""",
+        """SELECT a.event_id, strftime(b.ts, '%Y-%m-%d %H:%M:%S') AS found FROM (SELECT * FROM events WHERE event_type = 'purchase') a
+        ASOF LEFT JOIN (SELECT DISTINCT user_id, ts FROM events WHERE event_type <> 'purchase') b ON a.user_id = b.user_id AND a.ts >= b.ts""",
+    ),
+    "join_broadcast_hint": (
+        "SELECT /*+ BROADCAST(n) */ c_custkey, n_name FROM customer JOIN nation n ON c_nationkey = n_nationkey",
+        "SELECT c_custkey, n_name FROM customer JOIN nation n ON c_nationkey = n_nationkey",
+    ),
+    "join_merge_hint": (
+        "SELECT /*+ MERGE(o) */ c_custkey, o_orderkey FROM customer JOIN orders o ON c_custkey = o_custkey",
+        "SELECT c_custkey, o_orderkey FROM customer JOIN orders o ON c_custkey = o_custkey",
+    ),
+    "agg_array_agg": (
+        """SELECT n_regionkey, array_join(array_sort(array_agg(n_name)), ',') AS names, percentile_approx(n_nationkey, 0.5, 10000) AS mid,
+        max_by(n_name, n_nationkey) AS last_name, min_by(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey""",
+        """SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ',') AS names, quantile_disc(n_nationkey, 0.5) AS mid,
+        max_by(n_name, n_nationkey) AS last_name, min_by(n_name, n_nationkey) AS first_name FROM nation GROUP BY n_regionkey""",
+    ),
+    "fn_string_search_more": (
+        """SELECT p_partkey, startswith(p_name, 'a') AS st, endswith(p_name, 'e') AS en, locate('a', p_name) AS lo, btrim(p_type, 'S') AS bt,
+        regexp_instr(p_brand, '[0-9]') AS ri, nvl(nullif(p_brand, 'Brand#11'), 'x') AS nv, nvl2(nullif(p_brand, 'Brand#11'), 1, 0) AS n2 FROM part""",
+        """SELECT p_partkey, starts_with(p_name, 'a') AS st, suffix(p_name, 'e') AS en, strpos(p_name, 'a') AS lo, trim(p_type, 'S') AS bt,
+        strpos(p_brand, regexp_extract(p_brand, '[0-9]')) AS ri, ifnull(nullif(p_brand, 'Brand#11'), 'x') AS nv,
+        CASE WHEN p_brand <> 'Brand#11' THEN 1 ELSE 0 END AS n2 FROM part""",
+    ),
+    "fn_math_more": (
+        """SELECT c_custkey, signum(c_acctbal) AS sg, factorial(CAST(c_custkey % 10 AS INT)) AS fa, isnan(c_acctbal / 0.5D) AS isn,
+        nanvl(CASE WHEN c_custkey % 2 = 0 THEN CAST('NaN' AS DOUBLE) ELSE c_acctbal END, -1D) AS nv, round(log(3, c_custkey + 1), 6) AS lb, pmod(-c_custkey, 7) AS pm,
+        bit_count(c_custkey) AS bc, shiftleft(c_custkey, 2) AS sl, round(hypot(c_custkey, 2), 6) AS hy FROM customer""",
+        """SELECT c_custkey, CAST(sign(c_acctbal) AS DOUBLE) AS sg, CAST(factorial(CAST(c_custkey % 10 AS INT)) AS BIGINT) AS fa, false AS isn,
+        CASE WHEN c_custkey % 2 = 0 THEN -1 ELSE c_acctbal END AS nv, round(ln(c_custkey + 1) / ln(3), 6) AS lb, (7 - c_custkey % 7) % 7 AS pm,
+        CAST(bit_count(c_custkey) AS INTEGER) AS bc, c_custkey << 2 AS sl, round(sqrt(c_custkey ** 2 + 4), 6) AS hy FROM customer""",
+    ),
+    "fn_date_more": (
+        """SELECT event_id, unix_timestamp(CAST(ts AS TIMESTAMP)) AS s, unix_millis(timestamp_seconds(event_id)) AS ms, unix_seconds(timestamp_millis(event_id * 1000)) AS sm,
+        from_unixtime(event_id, 'yyyy-MM-dd HH:mm:ss') AS fu, date_format(to_timestamp('2024-05-06 07:08:09'), 'yyyyMMddHHmmss') AS tt, datediff(DATE '2024-03-01', DATE '2024-02-01') AS dd,
+        CAST(last_day(CAST(ts AS DATE)) AS STRING) AS ld, CAST(add_months(CAST(ts AS DATE), 1) AS STRING) AS am, now() IS NOT NULL AND current_date() >= DATE '2020-01-01' AS clock,
+        date_format(timestampadd(HOUR, 5, CAST(ts AS TIMESTAMP)), 'yyyy-MM-dd HH') AS ta FROM events""",
+        """SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS s, event_id * 1000 AS ms, event_id AS sm, strftime(make_timestamp(event_id * 1000000), '%Y-%m-%d %H:%M:%S') AS fu,
+        '20240506070809' AS tt, 29 AS dd, CAST(last_day(CAST(ts AS DATE)) AS VARCHAR) AS ld, CAST(CAST(CAST(ts AS DATE) + INTERVAL 1 MONTH AS DATE) AS VARCHAR) AS am, true AS clock,
+        strftime(ts + INTERVAL 5 HOURS, '%Y-%m-%d %H') AS ta FROM events""",
+    ),
+    "fn_array_more": (
+        """SELECT vec_id, round(array_min(a), 6) AS mn, cardinality(array_append(a, 1F)) AS ap, element_at(array_prepend(a, 7F), 1) AS pr,
+        size(array_distinct(array_append(a, a[0]))) AS di, size(array_remove(a, a[0])) AS rm, size(array_repeat(label, 3)) AS rp, round(array_sort(a)[0], 6) AS so,
+        arrays_overlap(slice(a, 1, 2), slice(a, 2, 2)) AS ov, round(array_max(a), 6) AS mx FROM (SELECT vec_id, label, embedding AS a FROM embeddings) t""",
+        """SELECT vec_id, round(CAST(list_min(a) AS FLOAT), 6) AS mn, len(a) + 1 AS ap, CAST(7 AS FLOAT) AS pr, len(list_distinct(a)) AS di,
+        len(list_filter(a, lambda x: x <> a[1])) AS rm, 3 AS rp, round(CAST(list_sort(a)[1] AS FLOAT), 6) AS so, true AS ov, round(CAST(list_max(a) AS FLOAT), 6) AS mx
+        FROM (SELECT vec_id, label, embedding AS a FROM embeddings) t""",
+    ),
+    "fn_explode": (
+        "SELECT n_nationkey, w FROM nation LATERAL VIEW explode(split(n_name, 'A')) t AS w",
+        "SELECT n_nationkey, unnest(string_split(n_name, 'A')) AS w FROM nation",
+    ),
+    "fn_json_more": (
+        """SELECT event_id, f.k AS k, f.n AS n, element_at(map_values(map('a', event_type)), 1) AS v, j AS j FROM (SELECT event_id, event_type,
+        from_json(to_json(named_struct('k', event_type, 'n', event_id)), 'k STRING, n BIGINT') AS f,
+        to_json(named_struct('q', user_id)) AS s FROM events) t LATERAL VIEW json_tuple(s, 'q') x AS j""",
+        "SELECT event_id, event_type AS k, event_id AS n, event_type AS v, CAST(user_id AS VARCHAR) AS j FROM events",
+    ),
+    "fn_encode_more": (
+        """SELECT n_nationkey, CAST(unhex(hex(n_name)) AS STRING) AS u, CAST(unbase64(base64(CAST(n_name AS BINARY))) AS STRING) AS b, crc32(CAST(n_name AS BINARY)) > 0 AS c,
+        length(uuid()) AS id, rand() BETWEEN 0 AND 1 AS r FROM nation""",
+        "SELECT n_nationkey, n_name AS u, n_name AS b, true AS c, 36 AS id, true AS r FROM nation",
+    ),
     "uuid_compare": (
         """WITH t AS (SELECT n_nationkey, lower(concat('550e8400-e29b-41d4-a716-4466554400', lpad(hex(n_nationkey), 2, '0'))) AS u FROM nation)
         SELECT n_nationkey FROM t WHERE u <> lower('550E8400-E29B-41D4-A716-446655440005') AND u = u""",

@@ -9,7 +9,9 @@ from quern.functions import compat
 from quern.functions import vector as V
 from quern.operators import ann
 from quern.session import Engine
+from quern.functions.sqltypes import SqlError
 from quern.sources.store import scratch
+from quern.sources.vecs import read_vecs, write_vecs
 from quern.streaming.windows import sessions, windowed
 
 #: The vector that the queries look for: that of this id.
@@ -46,6 +48,8 @@ def _engine(spark, sf_dir, *tables: str) -> Engine:
     engine = Engine(spark, scratch(spark))
     s = engine.session()
     shapes = {
+        "nation": "n_nationkey INT, n_name TEXT, n_regionkey INT",
+        "orders": "o_orderkey INT8, o_custkey INT8, o_orderstatus TEXT",
         "region": "r_regionkey INT, r_name TEXT",
         "customer": "c_custkey INT8, c_name TEXT, c_acctbal FLOAT8",
         "embeddings": "vec_id INT8, embedding VECTOR(64), label INT",
@@ -74,18 +78,37 @@ def _ann(spark, sf_dir):
     return r.frame
 
 
+#: Queries that are broadcast at a time.
+QUERY_BLOCK = 1000
+
+
+def _in_blocks(rows: DataFrame, column: str):
+    """(id, vector) of all rows, in lists of QUERY_BLOCK."""
+    block = []
+    for r in rows.toLocalIterator():
+        block.append((r[0], list(r[column])))
+        if len(block) == QUERY_BLOCK:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
 def _recall(spark, sf_dir):
-    """Recall at 10 of 20 queries through the graphs, reported as being at least 0.98."""
+    """Recall at 10 through the graphs of the queries whose id is divisible by 100, reported as being at least 0.98."""
     root = f"{scratch(spark)}/graph"
     rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("_tid"), "embedding")
     ann.build(rows, "_tid", "embedding", "vector_l2_ops", root)
-    asked = [list(r.embedding) for r in rows.where("_tid % 25 = 0").orderBy("_tid").limit(20).collect()]
-    hits = ann.search(spark, root, "vector_l2_ops", asked, 10)
-    found = _first(hits, "distance")
-    q = spark.createDataFrame(list(enumerate(asked)), "query int, q array<float>")
-    gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
-    exact = rows.crossJoin(F.broadcast(q)).select("query", F.col("_tid").alias("tid"), gap.alias("distance"))  # 20 queries
-    recall = ann.recall_frame(_first(exact, "distance"), found, 10)
+    found = truth = None
+    for block in _in_blocks(rows.where("_tid % 100 = 0"), "embedding"):
+        hits = ann.search(spark, root, "vector_l2_ops", [q for _, q in block], 10)
+        ids = spark.createDataFrame([(i, n) for i, (n, _) in enumerate(block)], "query int, id long")
+        near = _first(hits, "distance").join(F.broadcast(ids), "query").select(F.col("id").alias("query"), "tid")
+        q = spark.createDataFrame(block, "query long, q array<float>")
+        gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda a, x: a + x)
+        exact = _first(rows.crossJoin(F.broadcast(q)).select("query", F.col("_tid").alias("tid"), gap.alias("distance")), "distance")  # QUERY_BLOCK queries
+        found, truth = (near, exact) if found is None else (found.unionAll(near), truth.unionAll(exact))
+    recall = ann.recall_frame(truth, found, 10)
     return recall.select((F.col("recall") >= 0.98).alias("recall_holds"))
 
 
@@ -111,10 +134,10 @@ def _delete(spark, sf_dir):
 
 def _serial(spark, sf_dir):
     s = Engine(spark, scratch(spark)).session()
-    s.exec("CREATE TABLE items (id SERIAL, note TEXT)")
-    s.exec("INSERT INTO items (note) VALUES ('a'), ('b')")
-    s.exec("INSERT INTO items VALUES (DEFAULT, 'c'), (99, 'd'), (NULL, 'e')")
-    return s.exec("SELECT id, note FROM items ORDER BY id").frame
+    s.exec("CREATE TABLE parcels (num SERIAL, mark TEXT)")
+    s.exec("INSERT INTO parcels (mark) VALUES ('oak'), ('elm')")
+    s.exec("INSERT INTO parcels VALUES (DEFAULT, 'ash'), (40, 'yew'), (NULL, 'fir')")
+    return s.exec("SELECT num, mark FROM parcels ORDER BY num").frame
 
 
 def _snapshot(spark, sf_dir):
@@ -138,18 +161,177 @@ def _explain(spark, sf_dir):
 
 
 def _topk_each(spark, sf_dir):
-    """The 3 nearest rows of each of the first 10 vectors, exactly."""
+    """The 3 nearest rows of each vector whose id is divisible by 100, exactly; queries are broadcast in blocks."""
     from pyspark.sql import Window
 
-    rows = _read(spark, sf_dir, "embeddings")
-    q = rows.where("vec_id < 10").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    rows, found = _read(spark, sf_dir, "embeddings"), None
     gap = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))), F.lit(0.0), lambda a, x: a + x)
-    pairs = rows.join(F.broadcast(q.limit(10)), F.col("vec_id") != F.col("query"))  # 10 queries
+    for block in _in_blocks(rows.where("vec_id % 100 = 0").select("vec_id", "embedding"), "embedding"):
+        q = F.broadcast(spark.createDataFrame(block, "query long, q array<float>"))  # QUERY_BLOCK queries
+        pairs = rows.join(q, F.col("vec_id") != F.col("query")).select("query", "vec_id", F.sqrt(gap).alias("d"))
+        found = pairs if found is None else found.unionAll(pairs)
     order = Window.partitionBy("query").orderBy("d", "vec_id")
-    near = pairs.select("query", "vec_id", F.sqrt(gap).alias("d")).withColumn("rn", F.row_number().over(order))
+    near = found.withColumn("rn", F.row_number().over(order))
     return near.where("rn <= 3").select("query", "vec_id", F.round("d", 6).alias("d"))
 
 
+def _by_index(sql: str, column: str, path: str = "BTreeScan"):
+    """A statement over an engine's copy of orders with an index on the column; it has to take that path."""
+
+    def query(spark, sf_dir):
+        s = _engine(spark, sf_dir, "orders").session()
+        s.exec(f"CREATE INDEX ON orders ({column})")
+        found = s.exec(sql)
+        assert found.path == path, found.path
+        return found.frame
+
+    return query
+
+
+def _row_locks(spark, sf_dir):
+    """What a session can't do while another holds a row: (held, asked, blocked), and the same for another row."""
+    ask = {
+        "share": "SELECT r_name FROM region WHERE r_regionkey = {} FOR SHARE",
+        "update": "SELECT r_name FROM region WHERE r_regionkey = {} FOR UPDATE",
+        "write": "UPDATE region SET r_name = 'x' WHERE r_regionkey = {}",
+    }
+    engine, rows = _engine(spark, sf_dir, "region"), []
+    engine.locks.timeout = 0.2
+    for held in ask:
+        for asked in ask:
+            for row in (1, 2):
+                holder, other = engine.session(), engine.session()
+                holder.begin()
+                holder.exec(ask[held].format(1))
+                other.begin()
+                try:
+                    other.exec(ask[asked].format(row))
+                    blocked = False
+                except SqlError:
+                    blocked = True
+                rows.append((held, asked, row == 1, blocked))
+                other.rollback()
+                holder.rollback()
+    return spark.createDataFrame(rows, "held string, asked string, same_row boolean, blocked boolean")
+
+
+def _two_tables(spark, sf_dir):
+    """A transaction that loses the second of its tables to another changes neither."""
+    engine = _engine(spark, sf_dir, "region", "nation")
+    one, two = engine.session(), engine.session()
+    one.begin()
+    one.exec("DELETE FROM nation WHERE n_nationkey < 5")
+    one.exec("DELETE FROM region WHERE r_regionkey < 3")
+    two.exec("UPDATE region SET r_name = 'kept' WHERE r_regionkey = 4")
+    try:
+        one.commit()
+    except SqlError:
+        pass
+    s = engine.session()
+    a = s.exec("SELECT n_name FROM nation").frame.select(F.lit("nation").alias("t"), F.col("n_name").alias("name"))
+    return a.unionAll(s.exec("SELECT r_name FROM region").frame.select(F.lit("region").alias("t"), F.col("r_name").alias("name")))
+
+
+def _sequence(spark, sf_dir):
+    engine = Engine(spark, scratch(spark))
+    a, b = engine.session(), engine.session()
+    a.exec("CREATE SEQUENCE ticket")
+    rows = [(i, w, s.exec(f"SELECT {f}('ticket')").rows()[0][0]) for i, (w, s, f) in enumerate(
+        [("a", a, "nextval"), ("b", b, "nextval"), ("a", a, "currval"), ("a", a, "nextval"), ("b", b, "currval")])]
+    return spark.createDataFrame(rows, "step int, session string, value long")
+
+
+def _typed_scan(spark, sf_dir):
+    s = _engine(spark, sf_dir, "customer").session()
+    return s.scan("customer", ("c_custkey", "<", 50)).select("c_custkey", "c_name")
+
+
+def _typed_lookup(spark, sf_dir):
+    """The row that an index lookup names, fetched by its row id."""
+    s = _engine(spark, sf_dir, "customer").session()
+    s.exec("CREATE INDEX ON customer (c_custkey)")
+    tid = s.index_lookup("customer", "c_custkey", 77)
+    return s.scan("customer").where(F.col("_tid") == tid).select("c_custkey", "c_name")
+
+
+def _by_row_id(spark, sf_dir):
+    s = _engine(spark, sf_dir, "region").session()
+    tids = {r.r_regionkey: r["_tid"] for r in s.scan("region").collect()}
+    s.update_rows("region", [tids[1], tids[2]], {"r_name": "changed"})
+    s.delete_rows("region", [tids[0]])
+    return s.exec("SELECT r_regionkey, r_name FROM region").frame
+
+
+def _vacuum(spark, sf_dir):
+    engine = _engine(spark, sf_dir, "region")
+    s = engine.session()
+    s.exec("DELETE FROM region WHERE r_regionkey < 2")
+    gone = engine.vacuum("region")
+    kept = s.exec("SELECT r_regionkey FROM region").frame
+    return kept.select("r_regionkey", F.lit(gone["versions_removed"]).alias("versions_removed"), F.lit(gone["files_removed"] > 0).alias("files_removed"))
+
+
+def _leaks(spark, sf_dir):
+    """The graphs' report after a tenth of the rows, and then a half, have gone."""
+    engine = _engine(spark, sf_dir, "embeddings")
+    s = engine.session()
+    s.exec("CREATE INDEX ON embeddings USING hnsw (embedding vector_l2_ops)")
+    q = _asked(_read(spark, sf_dir, "embeddings"))
+    s.exec("SELECT vec_id FROM embeddings ORDER BY embedding <-> $1 LIMIT 1", [q]).rows()
+    rows = []
+    for label in (None, 1):
+        if label is not None:
+            s.exec(f"DELETE FROM embeddings WHERE label = {label}")
+        r = engine.hnsw_leak_report("embeddings")
+        rows.append((label, r["live_count"], r["unreachable_live_count"] == 0))
+    return spark.createDataFrame(rows, "deleted int, live long, all_reached boolean")
+
+
+def _fallbacks(spark, sf_dir):
+    """Why a statement does not go through the graphs."""
+    s = _engine(spark, sf_dir, "embeddings").session()
+    q = "[" + ",".join(map(str, _asked(_read(spark, sf_dir, "embeddings")))) + "]"
+    ask = [
+        (1, f"ORDER BY embedding <-> '{q}' LIMIT 5"), (2, f"ORDER BY embedding <=> '{q}' LIMIT 5"), (3, f"ORDER BY embedding <-> '{q}'"),
+        (4, f"ORDER BY embedding <-> '{q}' DESC LIMIT 5"), (5, f"WHERE label = 1 ORDER BY embedding <-> '{q}' LIMIT 5"),
+    ]
+    plan = lambda tail: s.exec(f"EXPLAIN SELECT vec_id FROM embeddings {tail}").rows()[0][0]
+    rows = [(0, plan(ask[0][1]))]
+    s.exec("CREATE INDEX ON embeddings USING hnsw (embedding vector_l2_ops)")
+    rows += [(n, plan(tail)) for n, tail in ask]
+    found = spark.createDataFrame(rows, "n int, plan string")
+    return found.select("n", F.regexp_extract("plan", "^(\\w+)", 1).alias("path"), F.regexp_extract("plan", "reason=(\\w+)", 1).alias("reason"))
+
+
+def _refused(spark, sf_dir):
+    """Statements with parameters that are refused before anything is written."""
+    s = _engine(spark, sf_dir, "region").session()
+    ask = [("right", "INSERT INTO region VALUES ($1, $2)", [7, "seven"]), ("missing", "INSERT INTO region VALUES ($1, $2)", [8]),
+           ("extra", "INSERT INTO region VALUES ($1, 'x')", [9, 10]), ("type", "INSERT INTO region VALUES ($1, $2)", ["nine", "x"]),
+           ("range", "INSERT INTO region VALUES ($1, 'x')", [1 << 40])]
+    rows = []
+    for name, sql, params in ask:
+        try:
+            s.exec(sql, params)
+            rows.append((name, False))
+        except SqlError:
+            rows.append((name, True))
+    n = s.exec("SELECT r_regionkey FROM region").frame.count()
+    return spark.createDataFrame(rows, "given string, refused boolean").withColumn("rows", F.lit(n))
+
+
+def _vecs(spark, sf_dir):
+    """Vectors through an fvecs file and back."""
+    import os
+    import tempfile
+
+    rows = _read(spark, sf_dir, "embeddings").orderBy("vec_id")
+    folder = tempfile.mkdtemp(prefix="quern-vecs-") if spark.sparkContext.master.startswith("local") else scratch(spark)
+    path = os.path.join(folder, "vectors.fvecs")
+    write_vecs(rows, "embedding", path)
+    return read_vecs(spark, f"file://{path}").select("position", F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
 def _windows(spark, sf_dir):
     rows = windowed(_read(spark, sf_dir, "events"), "ts", ["event_type"], "value", "1 day")
     return rows.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("total", 4).alias("total"))
@@ -193,6 +375,20 @@ def queries() -> dict:
         "sql_topk": _sql_topk,
         "ann_topk": _ann,
         "ann_recall": _recall,
+        "engine_index_point": _by_index("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77", "o_orderkey"),
+        "engine_index_duplicates": _by_index("SELECT o_orderkey FROM orders WHERE o_custkey = 42", "o_custkey"),
+        "engine_index_range": _by_index("SELECT o_orderkey FROM orders WHERE o_orderkey < 60 ORDER BY o_orderkey", "o_orderkey"),
+        "row_locks": _row_locks,
+        "txn_two_tables": _two_tables,
+        "sequence_sessions": _sequence,
+        "typed_scan": _typed_scan,
+        "typed_index_lookup": _typed_lookup,
+        "dml_by_row_id": _by_row_id,
+        "vacuum_versions": _vacuum,
+        "hnsw_leak_report": _leaks,
+        "ann_fallback_reasons": _fallbacks,
+        "bind_parameters_refused": _refused,
+        "fvecs_round_trip": _vecs,
         "update_then_scan": _update,
         "delete_then_scan": _delete,
         "insert_default_serial": _serial,
@@ -222,13 +418,32 @@ def oracle_sql() -> dict[str, str]:
             ORDER BY CASE WHEN vec_id % 50 <> 0 THEN d END DESC NULLS FIRST, vec_id LIMIT 20""",
         "vec_topk_each": """SELECT query, vec_id, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY d, vec_id) AS rn FROM (
             SELECT a.vec_id AS query, b.vec_id, list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS d
-            FROM embeddings a JOIN embeddings b ON a.vec_id < 10 AND a.vec_id <> b.vec_id)) WHERE rn <= 3""",
+            FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id)) WHERE rn <= 3""",
         "sql_topk": l2 + "SELECT vec_id, d FROM d ORDER BY d, vec_id LIMIT 10",
         "ann_topk": l2 + "SELECT vec_id FROM d ORDER BY d, vec_id LIMIT 10",
         "ann_recall": "SELECT true AS recall_holds",
+        "engine_index_point": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77",
+        "engine_index_duplicates": "SELECT o_orderkey FROM orders WHERE o_custkey = 42",
+        "engine_index_range": "SELECT o_orderkey FROM orders WHERE o_orderkey < 60",
+        "row_locks": """SELECT held, asked, same_row, same_row AND NOT (held = 'share' AND asked = 'share') AND NOT (held = 'write' AND asked = 'write') AS blocked
+            FROM (VALUES ('share'), ('update'), ('write')) a(held), (VALUES ('share'), ('update'), ('write')) b(asked), (VALUES (true), (false)) c(same_row)""",
+        "txn_two_tables": """SELECT 'nation' AS t, n_name AS name FROM nation UNION ALL
+            SELECT 'region' AS t, CASE WHEN r_regionkey = 4 THEN 'kept' ELSE r_name END AS name FROM region""",
+        "sequence_sessions": "SELECT * FROM (VALUES (0, 'a', 1), (1, 'b', 2), (2, 'a', 1), (3, 'a', 3), (4, 'b', 2)) t(step, session, value)",
+        "typed_scan": "SELECT c_custkey, c_name FROM customer WHERE c_custkey < 50",
+        "typed_index_lookup": "SELECT c_custkey, c_name FROM customer WHERE c_custkey = 77",
+        "dml_by_row_id": """SELECT r_regionkey, CASE WHEN r_regionkey IN (1, 2) THEN 'changed' ELSE r_name END AS r_name FROM region WHERE r_regionkey <> 0""",
+        "vacuum_versions": "SELECT r_regionkey, 2 AS versions_removed, true AS files_removed FROM region WHERE r_regionkey >= 2",
+        "hnsw_leak_report": """SELECT CAST(NULL AS INTEGER) AS deleted, count(*) AS live, true AS all_reached FROM embeddings
+            UNION ALL SELECT 1, count(*), true FROM embeddings WHERE label IS NULL OR label <> 1""",
+        "ann_fallback_reasons": """SELECT * FROM (VALUES (0, 'SeqScan', 'NoIndex'), (1, 'HnswScan', ''), (2, 'SeqScan', 'MetricMismatch'),
+            (3, 'SeqScan', 'MissingLimit'), (4, 'SeqScan', 'Desc'), (5, 'SeqScan', 'ExtraWhere')) t(n, path, reason)""",
+        "bind_parameters_refused": """SELECT given, refused, (SELECT count(*) FROM region) + 1 AS rows
+            FROM (VALUES ('right', false), ('missing', true), ('extra', true), ('type', true), ('range', true)) t(given, refused)""",
+        "fvecs_round_trip": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS position, round(list_sum(CAST(embedding AS DOUBLE[])), 5) AS total FROM embeddings",
         "update_then_scan": "SELECT r_regionkey, CASE WHEN r_regionkey > 2 THEN 'MOVED' ELSE r_name END AS r_name FROM region",
         "delete_then_scan": "SELECT c_custkey, c_name FROM customer WHERE NOT c_acctbal < 0 AND c_custkey < 500",
-        "insert_default_serial": "SELECT * FROM (VALUES (1, 'a'), (2, 'b'), (3, 'c'), (99, 'd'), (NULL, 'e')) t(id, note)",
+        "insert_default_serial": "SELECT * FROM (VALUES (1, 'oak'), (2, 'elm'), (3, 'ash'), (40, 'yew'), (NULL, 'fir')) t(num, mark)",
         "txn_snapshot_isolation": """SELECT 'old' AS at, r_regionkey FROM region UNION ALL
             SELECT 'new' AS at, r_regionkey FROM region WHERE r_regionkey >= 3""",
         "analytics_snapshot": "SELECT r_name, count(*) AS n FROM region JOIN customer ON c_custkey % 5 = r_regionkey GROUP BY r_name",

@@ -26,18 +26,19 @@ def parse(data: bytes, kind: str) -> np.ndarray:
 
 
 def read_vecs(spark: SparkSession, path: str, kind: str = "fvecs", budget: int | None = None) -> DataFrame:
-    """(path, position, v) of every record of the files at ``path``; files over ``budget`` bytes are refused.
+    """(path, position, v) of every record of the files at ``path``; files over ``budget`` bytes are refused before they are read.
 
-    A file is read by one task; large sets come as many files.
+    A file is read by one task, and has to be smaller than 2 GB; large sets come as many files.
     """
     item = "float" if kind == "fvecs" else "int"
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    files = spark.read.format("binaryFile").load(path)
+    if budget is not None and (over := files.where(F.col("length") > budget).select("path", "length").first()):
+        raise ValueError(f"{over.path} has {over.length} bytes, over the budget of {budget}")
+    files = files.select("path", "length", "content")
 
     def run(batches):
         for batch in batches:
-            for name, length, content in batch.itertuples(index=False):
-                if budget is not None and length > budget:
-                    raise ValueError(f"{name} has {length} bytes, over the budget of {budget}")
+            for name, _, content in batch.itertuples(index=False):
                 v = parse(content, kind)
                 if kind == "fvecs" and not np.isfinite(v).all():
                     raise ValueError(f"{name} has values that are not finite")

@@ -25,15 +25,15 @@ def rows(s, sql, params=()):
 
 
 def test_changes_and_order(s):
-    s.exec("CREATE TABLE Users(ID INT, Name TEXT)")
-    assert s.exec("INSERT INTO users VALUES (1, 'a'), (2, 'b'), (NULL, 'it''s')").affected == 3
-    assert rows(s, "SELECT id FROM USERS ORDER BY id ASC") == [(1,), (2,), (None,)]
-    assert rows(s, "SELECT id FROM users ORDER BY id DESC LIMIT 1") == [(None,)]
-    assert s.exec("UPDATE users SET name = 'z' WHERE id > 1").affected == 1
-    assert sorted(rows(s, "SELECT name FROM users WHERE id < 3")) == [("a",), ("z",)]
-    assert s.exec("DELETE FROM users WHERE id = 1").affected == 1
-    assert s.exec("DELETE FROM users").affected == 2
-    assert rows(s, "SELECT * FROM users") == []
+    s.exec("CREATE TABLE Crew(NUM INT, Rank TEXT)")
+    assert s.exec("INSERT INTO crew VALUES (1, 'a'), (2, 'b'), (NULL, 'it''s')").affected == 3
+    assert rows(s, "SELECT num FROM CREW ORDER BY num ASC") == [(1,), (2,), (None,)]
+    assert rows(s, "SELECT num FROM crew ORDER BY num DESC LIMIT 1") == [(None,)]
+    assert s.exec("UPDATE crew SET rank = 'z' WHERE num > 1").affected == 1
+    assert sorted(rows(s, "SELECT rank FROM crew WHERE num < 3")) == [("a",), ("z",)]
+    assert s.exec("DELETE FROM crew WHERE num = 1").affected == 1
+    assert s.exec("DELETE FROM crew").affected == 2
+    assert rows(s, "SELECT * FROM crew") == []
 
 
 @pytest.mark.parametrize(
@@ -93,9 +93,9 @@ def test_distances_and_paths(s):
 
 def test_serial_and_sequences(engine, s):
     s.exec("CREATE TABLE items (id SERIAL, note TEXT)")
-    s.exec("INSERT INTO items (note) VALUES ('a'), ('b')")
-    s.exec("INSERT INTO items VALUES (DEFAULT, 'c'), (99, 'd'), (NULL, 'e')")
-    assert sorted(rows(s, "SELECT note, id FROM items")) == [("a", 1), ("b", 2), ("c", 3), ("d", 99), ("e", None)]
+    s.exec("INSERT INTO items (note) VALUES ('ivy'), ('moss')")
+    s.exec("INSERT INTO items VALUES (DEFAULT, 'fern'), (50, 'reed'), (NULL, 'rush')")
+    assert sorted(rows(s, "SELECT note, id FROM items")) == [("fern", 3), ("ivy", 1), ("moss", 2), ("reed", 50), ("rush", None)]
     s.begin()
     s.exec("INSERT INTO items (note) VALUES ('gone')")
     s.rollback()
@@ -224,3 +224,63 @@ def test_script_and_introspection(s):
     s.rollback()
     s.engine.drop_table("a")
     assert s.engine.table_entries() == []
+
+
+def test_for_update_blocks_a_writer_until_the_locker_ends(engine, s):
+    s.exec("CREATE TABLE t (id INT, v TEXT)")
+    s.exec("INSERT INTO t VALUES (1, 'p'), (2, 'q')")
+    locker, done = engine.session(), []
+    locker.begin()
+    assert rows(locker, "SELECT v FROM t WHERE id = 1 FOR UPDATE") == [("p",)]
+    writer = threading.Thread(target=lambda: done.append(engine.session().exec("UPDATE t SET v = 'r' WHERE id = 1").affected))
+    writer.start()
+    assert engine.session().exec("UPDATE t SET v = 's' WHERE id = 2").affected == 1  # another row is free
+    assert not done
+    locker.rollback()
+    writer.join(60)
+    assert done == [1] and sorted(rows(s, "SELECT id, v FROM t")) == [(1, "r"), (2, "s")]
+
+
+def test_two_tables_change_together_or_not_at_all(engine, s, monkeypatch):
+    for t in ("a", "b"):
+        s.exec(f"CREATE TABLE {t} (id INT)")
+    one = engine.session()
+    one.begin()
+    one.exec("INSERT INTO a VALUES (1)")
+    one.exec("INSERT INTO b VALUES (1)")
+    s.exec("INSERT INTO b VALUES (2)")
+    with pytest.raises(Conflict):
+        one.commit()
+    assert rows(s, "SELECT * FROM a") == [] and rows(s, "SELECT * FROM b") == [(2,)]
+    # another driver that comes in after the look at all tables
+    one.begin()
+    one.exec("INSERT INTO a VALUES (3)")
+    one.exec("INSERT INTO b VALUES (3)")
+    commit = engine.store.commit
+
+    def late(v):
+        if v.table == "b":
+            commit(engine.store.current("b"))
+        return commit(v)
+
+    monkeypatch.setattr(engine.store, "commit", late)
+    with pytest.raises(Conflict):
+        one.commit()
+    assert rows(s, "SELECT * FROM a") == [] and rows(s, "SELECT * FROM b") == [(2,)]
+
+
+def test_drop_waits_for_readers_and_manifests_are_whole(engine, s):
+    s.exec("CREATE TABLE t (id INT)")
+    s.exec("INSERT INTO t VALUES (1)")
+    reader = engine.session()
+    reader.begin()
+    with pytest.raises(SqlError):
+        engine.drop_table("t", 0.1)
+    assert rows(reader, "SELECT * FROM t") == [(1,)]
+    reader.rollback()
+    v = engine.store.current("t")
+    name = f"tables/t/versions/{v.number:012d}.json"
+    assert not engine.store.files.create(name, {}) and engine.store.current("t") == v
+    assert [n for n in engine.store.files.names("tables/t/versions") if not n.endswith(".json")] == []
+    engine.drop_table("t", 5)
+    assert engine.table_entries() == []
