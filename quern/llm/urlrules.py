@@ -1,14 +1,16 @@
 """URL rules indexed by their rarest literal token.
 
-A rule is a regular expression with the literal tokens (whole runs of letters
-and digits) that any matching URL must hold.  The index has one row per rule:
-its literal that is rarest among all URLs.  A URL's tokens fetch the rules that
-they index, and only those regular expressions run.
+A rule is a regular expression.  Its literals, the tokens (whole runs of letters
+and digits) that any matching URL must hold, are read off the parsed pattern.
+The index has one row per rule: its literal that is rarest among all URLs.  A
+URL's tokens fetch the rules that they index, and only those regular expressions
+run.
 """
 
 from __future__ import annotations
 
 import re
+from re import _parser as parser
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import table
 
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
 
 class Rule(NamedTuple):
@@ -25,22 +27,96 @@ class Rule(NamedTuple):
     #: ``site`` rules match host and path; ``url`` rules match the lower-cased URL
     scope: str
     regex: str
-    literals: list[str]
+
+    @property
+    def literals(self) -> list[str]:
+        return literals_of(self.regex, UPPER + LOWER + DIGITS if self.scope == "site" else LOWER + DIGITS)
+
+
+def _class_parts(items, inside: str) -> bool:
+    """Whether a character class matches none of the characters of tokens."""
+    negate, matched = False, set()
+    for kind, value in items:
+        if kind == parser.NEGATE:
+            negate = True
+        elif kind == parser.LITERAL:
+            matched.add(value)
+        elif kind == parser.RANGE:
+            matched.update(range(value[0], value[1] + 1))
+        else:
+            return False
+    return all((ord(c) in matched) == negate for c in inside)
+
+
+def _ends(nodes, inside: str) -> tuple[bool, bool]:
+    """Whether what a pattern matches begins, and whether it ends, with something that parts tokens (nothing does not)."""
+    kinds = _kinds(nodes, inside)
+    parts = lambda k: k == "part" or (k[0] == "lit" and k[1] not in inside)
+    return bool(kinds) and parts(kinds[0]), bool(kinds) and parts(kinds[-1])
+
+
+def _kinds(nodes, inside: str) -> list:
+    """Of each node: ("lit", character), "part" (it can't be inside a token), ("maybe", begins, ends with a part), or "any"."""
+    out: list = []
+    for kind, value in nodes:
+        if kind == parser.LITERAL:
+            out.append(("lit", chr(value)))
+        elif kind == parser.AT and value in (parser.AT_BEGINNING, parser.AT_BEGINNING_STRING, parser.AT_END, parser.AT_END_STRING):
+            out.append("part")
+        elif kind == parser.IN:
+            out.append("part" if _class_parts(value, inside) else "any")
+        elif kind == parser.SUBPATTERN and not value[1] and not value[2]:
+            out += _kinds(value[3], inside)
+        elif kind == parser.BRANCH:
+            each = [_kinds(option, inside) for option in value[1]]
+            out.append("part" if all(len(k) == 1 and k[0] == "part" for k in each) else "any")
+        elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT) and value[0] == 0:
+            out.append(("maybe", *_ends(value[2], inside)))
+        elif kind in (parser.MAX_REPEAT, parser.MIN_REPEAT):
+            out.append("part" if _kinds(value[2], inside) == ["part"] else "any")
+        else:
+            out.append("any")
+    return out
+
+
+def literals_of(regex: str, inside: str) -> list[str]:
+    """The tokens, in lower case, that every text holds in which the pattern is found; ``inside`` are the characters of tokens there.
+
+    A run of literal characters is a whole token only where what stands before and
+    after it parts tokens, whichever way the pattern matches.
+    """
+    kinds = _kinds(parser.parse(regex), inside)
+
+    def parted(i: int, step: int) -> bool:
+        while 0 <= i < len(kinds):
+            k = kinds[i]
+            if k == "part" or (k[0] == "lit" and k[1] not in inside):
+                return True
+            if k[0] != "maybe" or not k[2 if step < 0 else 1]:
+                return False
+            i += step  # an optional piece that parts, if it is there
+        return False
+
+    found, i = [], 0
+    while i < len(kinds):
+        j = i
+        while j < len(kinds) and kinds[j][0] == "lit" and kinds[j][1] in inside:
+            j += 1
+        if j > i and parted(i - 1, -1) and parted(j, 1):
+            found.append("".join(k[1] for k in kinds[i:j]).lower())
+        i = max(j, i + 1)
+    return list(dict.fromkeys(found))
 
 
 def site_rule(verdict: str, text: str) -> Rule:
     """A host (with its subdomains) and the start of a path, as in ``example.org/es/``."""
-    host, slash, rest = text.partition("/")
-    whole = re.findall("[a-z0-9]+(?=[^a-z0-9])", (slash + rest).lower())  # the last run may go on in a URL
-    return Rule(
-        text, verdict, "site", "^(?:[^/]*\\.)?" + _quoted(host + slash + rest), re.findall("[a-z0-9]+", host) + whole
-    )
+    return Rule(text, verdict, "site", "^(?:[^/]*\\.)?" + _quoted(text))
 
 
 def word_rule(verdict: str, *words: str) -> Rule:
     """Words that follow each other in a URL, with one character that is no letter or digit between them."""
     regex = "(?:^|[^a-z0-9])" + "[^a-z0-9]".join(map(_quoted, words)) + "(?:[^a-z0-9]|$)"
-    return Rule("-".join(words), verdict, "url", regex, list(words))
+    return Rule("-".join(words), verdict, "url", regex)
 
 
 def _quoted(text: str) -> str:
@@ -78,7 +154,8 @@ def _rest(url: Column) -> Column:
 
 
 def tokens_of(url: Column) -> Column:
-    return F.array_distinct(F.split(F.translate(url, UPPER, LOWER), "[^a-z0-9]+"))
+    """Distinct tokens; the empty one, which fetches rules without literals, always is among them."""
+    return F.array_distinct(F.concat(F.split(F.translate(url, UPPER, LOWER), "[^a-z0-9]+"), F.array(F.lit(""))))
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
@@ -110,7 +187,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
         "id int, name string, verdict string, scope string, regex string",
     )
     index = body.join(rarest, "id")
-    fetched = tokens.unionAll(urls.select("u", F.lit("").alias("token"))).distinct().join(index, "token")
+    fetched = tokens.join(index, "token")
     site = F.concat(host_of(F.col("u")), path_of(F.col("u")))
     subject = F.when(F.col("scope") == "site", site).otherwise(F.translate("u", UPPER, LOWER))
     hit = fetched.where(F.rlike(subject, F.col("regex")))
@@ -132,6 +209,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFra
 
 
 def op3_url_filter(spark, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of the url of each row of ``pages``; null urls have an empty host and path, and are allowed."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
     judged = judge_urls(pages, SITES + WORDS)
     own = F.when(F.size("matched") > 0, F.lit("block")).otherwise(F.lit("allow"))

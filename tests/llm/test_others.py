@@ -46,11 +46,34 @@ def test_urls_against_plain_matching(spark):
 
 
 def test_rules_without_literals_and_rarest(spark):
-    rules = [urlrules.Rule("any", "block", "url", "^ftp", []), urlrules.word_rule("block", "a", "b")]
+    rules = [urlrules.Rule("any", "block", "url", "^ftp"), urlrules.word_rule("block", "a", "b")]
     df = spark.createDataFrame([("ftp://x",), ("http://a.b",), ("http://a",)], "url string")
     assert {r.u: r.matched for r in urlrules.judge_urls(df, rules).collect()} == {"ftp://x": ["any"], "http://a.b": ["a-b"], "http://a": []}
 
 
+def test_literals_are_tokens_of_every_match():
+    low, both = urlrules.LOWER + urlrules.DIGITS, urlrules.UPPER + urlrules.LOWER + urlrules.DIGITS
+    for regex, inside, want in [
+        (urlrules.site_rule("x", "example.org/es/").regex, both, ["example", "org", "es"]),
+        (urlrules.site_rule("x", "example.org/en/1").regex, both, ["example", "org", "en"]),
+        (urlrules.word_rule("x", "casino", "win").regex, low, ["casino", "win"]),
+        ("^ftp", low, []), ("/ads?/", low, []), ("/ads/(?:big|small)/x1/", low, ["ads", "x1"]), ("[^a-z0-9]cat[^a-z]", low, []),
+        ("/a+b/cd/", low, ["cd"]), ("/(ef)/gh$", low, ["ef", "gh"]), ("x(?:y-)?z/", low, []), ("/(?:y-)?z/", low, ["z"]), ("a|/b/", low, []),
+    ]:
+        assert urlrules.literals_of(regex, inside) == want, regex
+    import re
+
+    rng = np.random.default_rng(12)
+    rules = [r.regex for r in urlrules.WORDS] + ["/ads/(?:big|small)/x1/", "/(?:y-)?z/", "[^a-z0-9]free[^a-z0-9]+bets$"]
+    pieces = ["casino", "win", "free", "bets", "/", "-", ".", "ads", "big", "x1", "y", "z", "porn", "s"]
+    for _ in range(2000):
+        text = "".join(rng.choice(pieces, rng.integers(1, 9)))
+        held = set(re.split("[^a-z0-9]+", text))
+        for regex in rules:
+            if re.search(regex, text):
+                assert held.issuperset(urlrules.literals_of(regex, low))
+
+
 # -- vectors --------------------------------------------------------------------------
 
 
