@@ -6,31 +6,34 @@ before it kept; all but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from quern.llm import bpe, decontaminate, langid, simhash, toxicity
-from quern.llm.common import shared_folder, table
+from quern.llm.common import table, written
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in some language go on; those without text or letters go.  A model learns from the rows of ``docs`` that have a lang."""
     return langid.keep_known(docs)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored clean go on; the model learns from those of ``docs`` that ``labels`` marks."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates goes on."""
     return simhash.keep_one(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without contamination by ``benchmark`` go on."""
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of the ids and of the decoded bytes of every document; null and empty texts have no tokens."""
     return bpe.digests(docs)
 
 
@@ -46,9 +49,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; what is between them is in the shared folder until the driver ends."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        path = f"{shared_folder(spark)}/quern-stage-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = written(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
