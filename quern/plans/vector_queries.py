@@ -78,6 +78,24 @@ def _ann(spark, sf_dir):
     return r.frame
 
 
+def _ann_changed(spark, sf_dir):
+    """The nearest rows through graphs that were made before a part of the rows came, moved or went."""
+    engine = Engine(spark, scratch(spark))
+    s, all_rows = engine.session(), _read(spark, sf_dir, "embeddings")
+    s.exec("CREATE TABLE moving (vec_id INT8, embedding VECTOR(64))")
+    s.exec("CREATE INDEX ON moving USING hnsw (embedding vector_l2_ops)")
+    s.insert_frame("moving", all_rows.where("vec_id % 5 <> 0").select("vec_id", "embedding"))
+    q = _asked(all_rows)
+    ask = "SELECT vec_id FROM moving ORDER BY embedding <-> $1 LIMIT 10"
+    s.exec(ask, [q]).rows()
+    s.insert_frame("moving", all_rows.where("vec_id % 5 = 0").select("vec_id", "embedding"))
+    s.exec("UPDATE moving SET embedding = $1 WHERE vec_id = 11", [q])
+    s.exec("DELETE FROM moving WHERE vec_id = 7")
+    r = s.exec(ask, [q])
+    assert r.path == "HnswScan"
+    return r.frame
+
+
 #: Queries that are broadcast at a time.
 QUERY_BLOCK = 1000
 
@@ -375,6 +393,7 @@ def queries() -> dict:
         "sql_topk": _sql_topk,
         "ann_topk": _ann,
         "ann_recall": _recall,
+        "ann_after_changes": _ann_changed,
         "engine_index_point": _by_index("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77", "o_orderkey"),
         "engine_index_duplicates": _by_index("SELECT o_orderkey FROM orders WHERE o_custkey = 42", "o_custkey"),
         "engine_index_range": _by_index("SELECT o_orderkey FROM orders WHERE o_orderkey < 60 ORDER BY o_orderkey", "o_orderkey"),
@@ -422,6 +441,7 @@ def oracle_sql() -> dict[str, str]:
         "sql_topk": l2 + "SELECT vec_id, d FROM d ORDER BY d, vec_id LIMIT 10",
         "ann_topk": l2 + "SELECT vec_id FROM d ORDER BY d, vec_id LIMIT 10",
         "ann_recall": "SELECT true AS recall_holds",
+        "ann_after_changes": l2 + "SELECT vec_id FROM d WHERE vec_id <> 7 ORDER BY CASE WHEN vec_id = 11 THEN 0 ELSE d END, vec_id LIMIT 10",
         "engine_index_point": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey = 77",
         "engine_index_duplicates": "SELECT o_orderkey FROM orders WHERE o_custkey = 42",
         "engine_index_range": "SELECT o_orderkey FROM orders WHERE o_orderkey < 60",

@@ -210,6 +210,46 @@ def test_leaks_and_rebuild(s):
     assert s.exec("SELECT id FROM t ORDER BY v <-> [5, 2] LIMIT 1").rows() == [(5,)]
 
 
+def test_index_follows_changes(s):
+    s.exec("CREATE TABLE t (id INT4, v VECTOR(2))")
+    s.exec("CREATE INDEX ix ON t USING hnsw (v vector_l2_ops)")
+    for lo in (0, 30):
+        s.exec("INSERT INTO t VALUES " + ", ".join(f"({i}, [{i}, 0])" for i in range(lo, lo + 30)))
+    near = lambda x: rows(s, f"SELECT id FROM t ORDER BY v <-> [{x}, 0] LIMIT 2")
+    layers = lambda: len(s.build_graph(s.store.current("t")).layers)
+    assert near(10.05) == [(10,), (11,)] and layers() == 1
+    s.exec("INSERT INTO t VALUES (100, [10.2, 0]), (101, NULL)")
+    assert near(10.05) == [(10,), (100,)] and layers() == 2
+    s.exec("UPDATE t SET v = [50.2, 0] WHERE id = 10")
+    assert near(10.05) == [(100,), (11,)] and near(50.2) == [(10,), (50,)] and layers() == 3
+    s.exec("UPDATE t SET v = [10, 0] WHERE id = 10")  # back to where it was
+    assert near(10.05) == [(10,), (100,)] and near(50.2) == [(50,), (51,)] and layers() == 4
+    s.exec("DELETE FROM t WHERE id = 100")
+    s.exec("UPDATE t SET id = 1000 WHERE id = 11")  # the vector stays
+    assert near(10.05) == [(10,), (1000,)] and layers() == 4
+    report = s.engine.hnsw_leak_report("t")
+    assert report["tombstoned_count"] == 3 and report["live_count"] == 60
+    s.exec("DELETE FROM t WHERE id < 30")  # too many dead: built anew
+    assert near(10.05) == [(1000,), (30,)] and layers() == 1
+    s.exec("DELETE FROM t WHERE id > 30")
+    s.engine.vacuum("t")
+    assert near(10.05) == [(30,)] and layers() == 1
+    s.exec("DELETE FROM t")
+    assert near(10.05) == []
+    s.exec("INSERT INTO t VALUES (1, [1, 1])")
+    assert near(10.05) == [(1,)]
+
+
+def test_layers_end(s, monkeypatch):
+    monkeypatch.setattr("quern.operators.ann.MAX_LAYERS", 2)
+    s.exec("CREATE TABLE t (id INT4, v VECTOR(1))")
+    s.exec("CREATE INDEX ix ON t USING hnsw (v vector_l2_ops)")
+    for i, n in enumerate((1, 2, 1)):
+        s.exec(f"INSERT INTO t VALUES ({i}, [{i}])")
+        assert rows(s, f"SELECT id FROM t ORDER BY v <-> [{i}] LIMIT 1") == [(i,)]
+        assert len(s.build_graph(s.store.current("t")).layers) == n
+
+
 def test_script_and_introspection(s):
     s.exec_script("CREATE TABLE a (id INT); INSERT INTO a VALUES (1)")
     with pytest.raises(SqlError):
