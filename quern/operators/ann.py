@@ -101,8 +101,7 @@ def build(rows: DataFrame, tid: str, vector: str, metric: str, path: str, params
     def one(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("tid")
         graph = Hnsw(metric, params)
-        for v in part.v:
-            graph.insert(v)
+        graph.fill(part.v)
         return pd.DataFrame(
             {
                 "shard": part.shard.to_numpy(),

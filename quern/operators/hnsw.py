@@ -22,6 +22,8 @@ class Params:
         return 2 * self.m
 
 
+#: Nodes whose distances to all others are computed at once when a graph is filled.
+BLOCK = 256
 METRICS = {"vector_l2_ops", "vector_cosine_ops", "vector_ip_ops"}
 
 
@@ -54,14 +56,16 @@ class Hnsw:
         return v
 
     def distances(self, q: np.ndarray, nodes) -> np.ndarray:
-        x = self.vectors[nodes]
+        return self._apart(q, self.vectors[nodes], self.norms[nodes])
+
+    def _apart(self, q: np.ndarray, x: np.ndarray, norms: np.ndarray) -> np.ndarray:
         if self.metric == "vector_l2_ops":
             d = x - q
             return np.einsum("ij,ij->i", d, d)
         dot = x @ q
         if self.metric == "vector_ip_ops":
             return -dot
-        return 1 - dot / (self.norms[nodes] * math.sqrt(float(q @ q)))
+        return 1 - dot / (norms * math.sqrt(float(q @ q)))
 
     def _layer(self, q: np.ndarray, entries: list[tuple[float, int]], ef: int, layer: int) -> list[tuple[float, int]]:
         """The ef nearest found from the entries, nearest first."""
@@ -89,16 +93,30 @@ class Hnsw:
         """m of the candidates: nearest ones, or (heuristic) ones nearer to the node than to any chosen before, then the rest."""
         if not self.params.heuristic or len(near) <= m:
             return [n for _, n in near[:m]]
-        chosen: list[int] = []
-        rest: list[int] = []
-        for d, n in near:
-            if len(chosen) == m:
-                break
-            if not chosen or (self.distances(self.vectors[n], chosen) > d).all():
-                chosen.append(n)
-            else:
-                rest.append(n)
-        return chosen + rest[: m - len(chosen)]
+        gaps, nodes = np.array([d for d, _ in near]), np.array([n for _, n in near])
+        free, chosen, x, norms = np.ones(len(near), bool), [], self.vectors[nodes], self.norms[nodes]
+        for i in range(len(near)):
+            if free[i]:
+                chosen.append(i)
+                if len(chosen) == m:
+                    break
+                free &= self._apart(x[i], x, norms) > gaps
+        rest = sorted(set(range(len(near))) - set(chosen))
+        return nodes[chosen + rest[: m - len(chosen)]].tolist()
+
+    def _level(self) -> int:
+        return int(-math.log(1.0 - self._rng.random()) / math.log(self.params.m))
+
+    def _join(self, node: int, layer: int, near: list[tuple[float, int]]) -> None:
+        """Link a new node with some of those near it, both ways."""
+        most = self.params.m0 if layer == 0 else self.params.m
+        self.neighbours[node][layer] = self._select(near, self.params.m)
+        for n in self.neighbours[node][layer]:
+            links = self.neighbours[n][layer]
+            links.append(node)
+            if len(links) > most:
+                d = self.distances(self.vectors[n], links).tolist()
+                self.neighbours[n][layer] = self._select(sorted(zip(d, links)), most)
 
     def insert(self, v) -> int:
         v = self.check(v)
@@ -112,7 +130,7 @@ class Hnsw:
         self.vectors[node] = v
         self.norms[node] = math.sqrt(float(v @ v))
         self._n += 1
-        level = int(-math.log(1.0 - self._rng.random()) / math.log(self.params.m))
+        level = self._level()
         self.neighbours.append([[] for _ in range(level + 1)])
         if self.entry < 0:
             self.entry = node
@@ -123,18 +141,68 @@ class Hnsw:
             at = self._layer(v, at, 1, layer)
         for layer in range(min(top, level), -1, -1):
             at = self._layer(v, at, self.params.ef_construction, layer)
-            most = self.params.m0 if layer == 0 else self.params.m
-            self.neighbours[node][layer] = self._select(at, self.params.m)
-            for n in self.neighbours[node][layer]:
-                links = self.neighbours[n][layer]
-                links.append(node)
-                if len(links) > most:
-                    d = self.distances(self.vectors[n], links).tolist()
-                    self.neighbours[n][layer] = self._select(sorted(zip(d, links)), most)
+            self._join(node, layer, at)
         if level > top:
             self.entry = node
         return node
 
+    def fill(self, rows) -> None:
+        """Insert many into an empty graph: the candidates of a node are the exact nearest of all before it.
+
+        They come from blocks of matrix products, so time grows with the square of
+        the rows; a shard's number of rows is bounded.
+        """
+        if self._n:
+            raise ValueError("the graph has nodes")
+        checked = [self.check(v) for v in rows]
+        if not checked:
+            return
+        self.vectors, self._n = np.stack(checked), len(checked)
+        self.norms = np.sqrt((self.vectors**2).sum(1))
+        levels = [self._level() for _ in checked]
+        self.neighbours = [[[] for _ in range(level + 1)] for level in levels]
+        members: list[list[int]] = [[] for _ in range(max(levels) + 1)]
+        ef = self.params.ef_construction
+        for start in range(0, self._n, BLOCK):
+            order = self._order(start, min(start + BLOCK, self._n))
+            for node in range(start, min(start + BLOCK, self._n)):
+                for layer in range(levels[node], -1, -1):
+                    before = np.array(members[layer], np.int64)
+                    members[layer].append(node)
+                    if len(before) == 0:
+                        continue
+                    if len(before) > ef:
+                        before = before[np.argpartition(order[node - start, before], ef - 1)[:ef]]
+                    self._join(node, layer, sorted(zip(self.distances(self.vectors[node], before).tolist(), before.tolist())))
+                if self.entry < 0 or levels[node] > levels[self.entry]:
+                    self.entry = node
+        self._connect()
+
+    def _reach(self, node: int, seen: set[int]) -> None:
+        """Add to ``seen`` what paths from a node lead to."""
+        stack = [node]
+        while stack:
+            node = stack.pop()
+            if node not in seen:
+                seen.add(node)
+                stack += [n for layer in self.neighbours[node] for n in layer if n not in seen]
+
+    def _connect(self) -> None:
+        """Nodes that no path leads to, as in large groups of copies, get a link from one they link to, beyond the bound on links."""
+        seen: set[int] = set()
+        self._reach(self.entry, seen)
+        for node in range(self._n):
+            if node not in seen:
+                self.neighbours[next((n for n in self.neighbours[node][0] if n in seen), self.entry)][0].append(node)
+                self._reach(node, seen)
+
+    def _order(self, start: int, stop: int) -> np.ndarray:
+        """For nodes from start to stop, numbers that order all nodes before stop by their distance."""
+        dot = self.vectors[start:stop] @ self.vectors[:stop].T
+        if self.metric == "vector_l2_ops":
+            return self.norms[:stop] ** 2 - 2 * dot
+        return -dot if self.metric == "vector_ip_ops" else -dot / self.norms[:stop]
+
     def search(self, q, k: int, ef: int | None = None) -> list[tuple[int, float]]:
         """The k nearest live nodes found, as (node, distance)."""
         ef = self.params.ef_search if ef is None else ef
@@ -175,12 +243,9 @@ class Hnsw:
 
     def audit(self) -> dict[str, float]:
         """Counts, live nodes that no search can reach on layer 0, and the share of live links without their reverse."""
-        seen, stack = set(), [self.entry] if self.entry >= 0 else []
-        while stack:
-            node = stack.pop()
-            if node not in seen:
-                seen.add(node)
-                stack += [n for layer in self.neighbours[node] for n in layer if n not in seen]
+        seen: set[int] = set()
+        if self.entry >= 0:
+            self._reach(self.entry, seen)
         links = [(a, b) for a in range(self._n) if a not in self.dead for b in self.neighbours[a][0] if b not in self.dead]
         both = set(links)
         one_way = sum((b, a) not in both for a, b in links)

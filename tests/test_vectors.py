@@ -62,6 +62,29 @@ def test_graph_limits():
         Hnsw("vector_cosine_ops").insert([0.0, 0.0])
 
 
+@pytest.mark.parametrize("metric", ["vector_l2_ops", "vector_cosine_ops", "vector_ip_ops"])
+def test_filled_graph_against_brute_force(metric):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(700, 12)).astype(np.float32)
+    x[100:140] = x[5]  # copies
+    g = Hnsw(metric)
+    g.fill(x)
+    assert len(g) == 700 and g.audit()["unreachable_live_count"] == 0
+    hits = 0
+    for q in rng.normal(size=(20, 12)):
+        d = g.distances(g.check(q), np.arange(700))
+        worst = np.sort(d)[9]
+        hits += sum(d[n] <= worst + 1e-12 for n, _ in g.search(q, 10))
+    assert hits >= 190
+    g.insert(x[3])  # it can grow
+    assert {n for n, _ in g.search(x[3], 2)} == {3, 700} or metric == "vector_ip_ops"
+    empty = Hnsw(metric)
+    empty.fill([])
+    assert empty.search([1.0, 2.0], 3) == []
+    with pytest.raises(ValueError):
+        g.fill(x)
+
+
 def test_shards_and_recall(spark, tmp_path):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(400, 6)).astype(np.float32)
