@@ -152,3 +152,25 @@ def test_topk_of_copies_as_its_sql(spark, tmp_path):
         got = sorted(r.vec_id for r in vector_queries.queries()[name](spark, str(tmp_path)).collect())
         copies = [i for i in range(400) if i % 20 == 7]
         assert got == (copies[:10] if name == "ann_topk" else sorted([11, *copies[1:10]]))
+
+
+def test_vector_files_of_many_tasks(spark, tmp_path, monkeypatch):
+    """Written where spark.checkpoint.dir points, a URI as on a cluster: positions go on over all files."""
+    from quern.plans import vector_queries
+    from quern.sources import vecs
+
+    monkeypatch.setattr(vecs, "FILE_BYTES", 40_000)
+    monkeypatch.setattr(vector_queries, "scratch", lambda spark: f"file://{tmp_path}/shared/quern")
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(900, 64)).astype(np.float32)
+    rows = spark.createDataFrame([(i, x[i].tolist(), 0) for i in rng.permutation(900).tolist()], "vec_id long, embedding array<float>, label int")
+    rows.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = sorted((r.position, r.total) for r in vector_queries.queries()["fvecs_round_trip"](spark, str(tmp_path)).collect())
+    assert [p for p, _ in got] == list(range(900))
+    assert np.allclose([t for _, t in got], x.astype(float).sum(1), atol=1e-5)
+    with pytest.raises(ValueError, match="already"):
+        write_vecs(rows, "embedding", f"{tmp_path}/shared/quern/vectors.fvecs")
+    many = rows.orderBy("vec_id").repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id")
+    write_vecs(many, "embedding", f"{tmp_path}/many")
+    found = read_vecs(spark, f"{tmp_path}/many").orderBy("position").collect()
+    assert len({r.path for r in found}) == 5 and np.array_equal(np.array([r.v for r in found], np.float32), x)
