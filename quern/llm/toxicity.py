@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import id_hash, small_batches, table
+from quern.llm.common import id_hash, release, small_batches, table
 
 #: The sample takes at most so many toxic and clean labels (of the smallest hashes), and so many characters of their documents.
 SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 12_000_000
@@ -43,7 +43,7 @@ RIDGE = 0.5
 #: Documents are predicted toxic from this score on.
 THRESHOLD = 0.3
 #: Tokens whose weight a worker keeps.
-CACHE = 400_000
+CACHE = 100_000
 
 _EDGES = ".,;:!?\"'()[]{}<>*#$%&|-_~`/\\"
 
@@ -201,7 +201,7 @@ class ToxicCrf:
         self.w = w.astype(np.float32)
         known = _Weights(self)
         known.update(index)
-        known.rows = list(zip(*(x.tolist() for x in (np.add.reduceat(self.w[flat], at), self.w[left], self.w[right]))))
+        known.rows = array("d", np.stack((np.add.reduceat(self.w[flat], at), self.w[left], self.w[right]), 1).ravel().astype(float).tolist())
         return known
 
     def weight(self, token: str) -> tuple[float, float, float]:
@@ -260,22 +260,22 @@ class _Weights(dict):
     def __init__(self, model: ToxicCrf):
         super().__init__()
         self.model = model
-        self.rows: list[tuple[float, float, float]] = []
+        self.rows = array("d")  # three for a token
         self.ready = np.zeros((0, 3))
 
     def __missing__(self, token: str) -> int:
-        self[token] = row = len(self.rows)
-        self.rows.append(self.model.weight(token))
+        self[token] = row = len(self.rows) // 3
+        self.rows.extend(self.model.weight(token))
         return row
 
     def table(self, rows: np.ndarray) -> np.ndarray:
         """(3, tokens) weights of tokens by their rows."""
-        if len(self.ready) < len(self.rows):
-            self.ready = np.concatenate((self.ready, np.array(self.rows[len(self.ready) :])))
+        if 3 * len(self.ready) < len(self.rows):
+            self.ready = np.concatenate((self.ready, np.array(self.rows[3 * len(self.ready) :]).reshape(-1, 3)))
         out = self.ready[rows].T.copy()
-        if len(self.rows) >= CACHE:
+        if len(self.rows) >= 3 * CACHE:
             self.clear()
-            self.rows, self.ready = [], np.zeros((0, 3))
+            self.rows, self.ready = array("d"), np.zeros((0, 3))
         return out
 
 
@@ -365,6 +365,9 @@ def tag(text: Column, model: ToxicCrf | None, spark) -> Column:
             yield pd.DataFrame(
                 {"score": [own.score(o) for o in odds], "spans": [offsets(t, o) for t, o in zip(texts, odds)]}
             )
+            del texts, odds
+        del cache
+        release()
 
     return run(text)
 

@@ -286,3 +286,22 @@ def test_keep_known_without_a_model(spark, odd):
     kept = langid.keep_known(unlabelled)
     assert kept.columns == unlabelled.columns
     assert sorted((r.doc_id is None, r.doc_id) for r in kept.collect()) == [*((False, i) for i in (1, 5, 6, 8, 9)), (True, None)]
+
+
+def test_toxicity_workers_keep_little():
+    """What a worker's full cache of token weights takes, by the bytes of a token; emptying it changes no odds."""
+    import tracemalloc
+
+    model = toxicity.ToxicCrf()
+    model.w = np.random.default_rng(0).normal(size=toxicity.WEIGHTS).astype(np.float32)
+    words = [f"word{i}" for i in range(5000)]
+    cache = toxicity._Weights(model)
+    tracemalloc.start()
+    model.odds([" ".join(words)], cache)
+    a_token = tracemalloc.get_traced_memory()[0] / len(words)
+    tracemalloc.stop()
+    assert a_token * toxicity.CACHE < 40e6
+    kept = np.concatenate(model.odds([" ".join(words)], cache))
+    cache.clear()
+    cache.rows, cache.ready = cache.rows[:0], cache.ready[:0]
+    assert np.array_equal(kept, np.concatenate(model.odds([" ".join(words)], cache)))
